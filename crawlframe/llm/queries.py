@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules
+from . import bpe, mixing, quality_rules
 from .common import read
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).drop("host_rate")
 
@@ -22,7 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
 
-WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 OP4 = rf"""
 WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
@@ -31,7 +37,7 @@ hit AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g)
 covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM hit, (SELECT unnest(range(8)) AS j) GROUP BY doc_id),
 lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 m AS (
-  SELECT doc_id, source, len(w) AS n_words, list_sum(list_transform(w, x -> length(x))) AS word_chars,
+  SELECT doc_id, source, len(w) AS n_words, list_sum(list_transform(w, lambda x: length(x))) AS word_chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
   FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
 ),
@@ -47,38 +53,38 @@ FROM j JOIN h ON j.source IS NOT DISTINCT FROM h.source, k
 
 def _permute(x: str, keys: str, n: str) -> str:
     return (
-        f"list_reduce({keys}, (a, s) -> struct_pack(x := CASE WHEN md5(concat(s.t, ':', greatest(a.x, (s.x - a.x + {n}) % {n})))[1] < '8'"
+        f"list_reduce({keys}, lambda a, s: struct_pack(x := CASE WHEN md5(concat(s.t, ':', greatest(a.x, (s.x - a.x + {n}) % {n})))[1] < '8'"
         f" THEN (s.x - a.x + {n}) % {n} ELSE a.x END, t := ''), struct_pack(x := ({x})::BIGINT, t := '')).x"
     )
 
 
 def _keys(tag: str, n: str) -> str:
-    return f"list_transform(range(1, {mixing.ROUNDS + 1}), r -> struct_pack(x := ('0x' || md5(concat({tag}, ':', r))[1:12])::BIGINT % greatest({n}, 1)::BIGINT, t := concat({tag}, ':', r)))"
+    return f"list_transform(range(1, {mixing.ROUNDS + 1}), lambda r: struct_pack(x := ('0x' || md5(concat({tag}, ':', r))[1:12])::BIGINT % greatest({n}, 1)::BIGINT, t := concat({tag}, ':', r)))"
 
 
 OP6 = f"""
 WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-r AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS at, 3 * source_size AS cap FROM s),
-w AS (SELECT *, (at - 1) % 3 + 1 AS weight FROM r),
+r AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS rk, 3 * source_size AS cap FROM s),
+w AS (SELECT *, (rk - 1) % 3 + 1 AS weight FROM r),
 l AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0))::DOUBLE AS words, (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::DOUBLE AS weights
-  FROM w WINDOW b AS (ORDER BY cap / weight, at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  FROM w WINDOW b AS (ORDER BY cap / weight, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ),
-lam AS (SELECT words / weights AS lam FROM l WHERE cap / weight >= words / weights ORDER BY cap / weight, at LIMIT 1),
+lam AS (SELECT words / weights AS lam FROM l WHERE cap / weight >= words / weights ORDER BY cap / weight, rk LIMIT 1),
 t AS (
   SELECT source, source_size, CASE WHEN cap / weight >= words / weights THEN weight * (SELECT lam FROM lam) ELSE cap::DOUBLE END AS target FROM l
 ),
 p AS (
-  SELECT *, least(round(target)::BIGINT, 3 * source_size) // source_size AS full, least(round(target)::BIGINT, 3 * source_size) % source_size AS part,
+  SELECT *, least(round(target)::BIGINT, 3 * source_size) // source_size AS passes, least(round(target)::BIGINT, 3 * source_size) % source_size AS part,
     source_size // 512 AS whole, (source_size + 511) // 512 AS blocks, source_size % 512 AS rest, concat('0', coalesce(concat(':s', source), ':n')) AS tag
   FROM t WHERE source_size > 0
 ),
-q AS (SELECT *, unnest(range(0, (full * blocks + (part + 511) // 512)::BIGINT)) AS slot, {_keys('tag', 'whole')} AS keys FROM p),
+q AS (SELECT *, unnest(range(0, (passes * blocks + (part + 511) // 512)::BIGINT)) AS slot, {_keys('tag', 'whole')} AS keys FROM p),
 b AS (SELECT *, slot // blocks AS epoch, slot % blocks AS q FROM q),
 e AS (
   SELECT source, CASE WHEN q >= whole THEN whole ELSE {_permute('q', 'keys', 'whole')} END AS block,
-    CASE WHEN epoch = full AND (q + 1) * 512 > part THEN part - q * 512 WHEN q >= whole THEN rest ELSE 512 END AS take
+    CASE WHEN epoch = passes AND (q + 1) * 512 > part THEN part - q * 512 WHEN q >= whole THEN rest ELSE 512 END AS take
   FROM b
 ),
 o AS (
