@@ -89,7 +89,9 @@ def slots(target: DataFrame, block: int = 512, seed: int = 0, shard_slots: int =
     plan = plan.withColumn("first", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     plan = plan.withColumn("all", F.sum("n").over(Window.partitionBy()))
     # A hot source has most slots: its row is cut into runs of slots before they are listed.
-    runs = plan.selectExpr("*", "explode(sequence(0L, (n - 1) div 10000)) AS run").filter("n > 0").repartition("source", "run")
+    # The number of partitions is fixed, as these rows are few and small until they are listed.
+    parts = int(target.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = plan.filter("n > 0").selectExpr("*", "explode(sequence(0L, (n - 1) div 10000)) AS run").repartition(parts, "source", "run")
     each = runs.selectExpr("*", "explode(sequence(run * 10000, least(run * 10000 + 9999, n - 1))) AS slot")
     each = each.selectExpr("*", "slot div blocks AS epoch", "slot % blocks AS q")
     each = each.selectExpr("*", f"CASE WHEN q >= whole THEN whole ELSE {_permute('q', 'keys', 'whole')} END AS block")
@@ -124,7 +126,8 @@ def taken(laid: DataFrame, mix: DataFrame, block: int = 512) -> DataFrame:
         "doc_id", "source", "size", "first", f"explode(sequence(first div {block}, (first + size - 1) div {block})) AS b"
     )
     use = mix.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "epoch", "take")
-    met = spans.join(use, spans["source"].eqNullSafe(use["_s"]) & (spans["b"] == use["_b"]))
+    # Listed slots outgrow the rows Spark measured before listing, so it must not broadcast them.
+    met = spans.join(use.hint("merge"), spans["source"].eqNullSafe(use["_s"]) & (spans["b"] == use["_b"]))
     met = met.selectExpr(
         "doc_id", "source", "size", "first", "epoch", f"greatest(b * {block}, first) - first AS at",
         f"least(b * {block} + take, first + size) - greatest(b * {block}, first) AS n",
