@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 LONG = 256
 #: Words in one recursive query, ids in one decoding query, cached pieces, and characters handled at a time.
-WORDS, IDS, CACHED, CHARS = 40_000, 500_000, 500_000, 4_000_000
+WORDS, IDS, CACHED, CHARS = 40_000, 500_000, 1_200_000, 4_000_000
 
 MERGE = """
 WITH RECURSIVE step AS (
