@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,5 +40,13 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RE))
 
 
+def show_workers(spark: SparkSession) -> None:
+    """Let Python workers on this machine import this package wherever the driver was started; a cluster gets it by --py-files."""
+    root, held = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in held.get("PYTHONPATH", "").split(":"):
+        held["PYTHONPATH"] = ":".join(filter(None, [root, held.get("PYTHONPATH", "")]))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    show_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
