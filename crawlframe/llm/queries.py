@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, ngram_join, quality_rules, toxicity
+from . import bpe, mixing, ngram_join, preference, quality_rules, toxicity, url_templates
 from .common import read
 
 
+def op1_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(read(spark, sf_dir, "pages"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,6 +32,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(read(spark, sf_dir, "documents"))
 
 
+def op7_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.digest(read(spark, sf_dir, "conversations"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(read(spark, sf_dir, "documents"))
 
@@ -108,4 +116,4 @@ FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN n ON d.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4, "op6_mixing": OP6}
+    return {"op1_url_templates": url_templates.oracle(), "op7_preference": preference.ORACLE, "op4_quality_rules": OP4, "op6_mixing": OP6}
