@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, ngram_join, nn_descent, preference, quality_rules, toxicity, url_templates
+from . import bpe, ctw, mixing, ngram_join, nn_descent, preference, quality_rules, toxicity, url_templates
 from .common import read
 
 
@@ -40,6 +40,10 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(read(spark, sf_dir, "documents"))
 
 
+def op9_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(read(spark, sf_dir, "documents"))
+
+
 def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.near_duplicates(read(spark, sf_dir, "embeddings"))
 
