@@ -43,6 +43,8 @@ def words(text: Column) -> Column:
 def show_workers(spark: SparkSession) -> None:
     """Let Python workers on this machine import this package wherever the driver was started; a cluster gets it by --py-files."""
     root, held = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # texts are long; a batch of the default size takes much memory
     if root not in held.get("PYTHONPATH", "").split(":"):
         held["PYTHONPATH"] = ":".join(filter(None, [root, held.get("PYTHONPATH", "")]))
 

@@ -34,7 +34,7 @@ from .hashing import U, mix, words
 
 #: Parts beyond those needed, so that a class with this many empty parts still shares one that isn't empty.
 SLACK = 3
-CHARS = 2_000_000
+CHARS = 1_000_000
 
 
 def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
