@@ -44,7 +44,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([spans(sums, start, end), stems]), np.concatenate([doc, doc[stem]])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3, rounds: int = 25) -> tuple[np.ndarray, float]:
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3, rounds: int = 10) -> tuple[np.ndarray, float]:
     """Weights and intercept, by Newton's method with a ridge on the weights; rows count by `weight`."""
     x1 = np.column_stack([x, np.ones(len(x))])
     w, penalty = np.zeros(x1.shape[1]), np.append(np.full(x.shape[1], ridge), 1e-6)
@@ -57,32 +57,42 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return w[:-1], float(w[-1])
 
 
+def telling_words(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, most: int) -> np.ndarray:
+    """The words whose presence differs most between the classes, the most telling first."""
+    positive, total = float((weight * y).sum()), float(weight.sum())
+    if not len(y) or y.min() == y.max():
+        return np.zeros(0, dtype=U)
+    every, at = np.unique(np.concatenate(rows), return_inverse=True)
+    lengths = [len(r) for r in rows]
+    hit = np.bincount(at, weights=np.repeat(y * weight, lengths), minlength=len(every))
+    both = np.bincount(at, weights=np.repeat(weight, lengths), minlength=len(every))
+    p, q, share = hit / positive, (both - hit) / (total - positive), both / total
+    score = np.abs(p - q) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / positive + 1 / (total - positive)))
+    chosen = np.argsort(-np.where(both >= 3, score, -1), kind="stable")[:most]
+    return every[chosen[both[chosen] >= 3]]
+
+
+def presence(rows: list[np.ndarray], words: np.ndarray) -> np.ndarray:
+    """Whether each row (sorted hashes) has each of the words."""
+    out = np.zeros((len(rows), len(words)))
+    for i, r in enumerate(rows):
+        if len(r):
+            out[i] = r[np.minimum(np.searchsorted(r, words), len(r) - 1)] == words
+    return out
+
+
 class Link:
-    """One category's model: words, their weights, weights of earlier probabilities, intercept."""
+    """One category's model: words, their weights, weights of earlier probabilities, intercept. x: the words' presence in the rows."""
 
-    def __init__(self, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, earlier: np.ndarray, features: int):
-        positive, total = float((weight * y).sum()), float(weight.sum())
+    def __init__(self, words: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray, earlier: np.ndarray):
         self.words, self.weights, self.chain = np.zeros(0, dtype=U), np.zeros(0), np.zeros(earlier.shape[1])
-        share = positive / total if len(y) else 0.0
+        share = float((weight * y).sum() / weight.sum()) if len(y) else 0.0
         self.intercept = float(np.log(share / (1 - share))) if 0 < share < 1 else (30.0 if share == 1 else -30.0)
         if not len(y) or y.min() == y.max():
             return
-        every, at = np.unique(np.concatenate(rows), return_inverse=True)
-        lengths = [len(r) for r in rows]
-        hit = np.bincount(at, weights=np.repeat(y * weight, lengths), minlength=len(every))
-        both = np.bincount(at, weights=np.repeat(weight, lengths), minlength=len(every))
-        p, q, share = hit / positive, (both - hit) / (total - positive), both / total
-        score = np.abs(p - q) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / positive + 1 / (total - positive)))
-        chosen = np.argsort(-np.where(both >= 3, score, -1), kind="stable")[:features]
-        self.words = np.sort(every[chosen[both[chosen] >= 3]])
-        w, self.intercept = fit_logistic(np.column_stack([self.presence(rows), earlier]), y, weight)
-        self.weights, self.chain = w[: len(self.words)], w[len(self.words) :]
-
-    def presence(self, rows: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(rows), len(self.words)))
-        for i, r in enumerate(rows):
-            out[i, np.isin(self.words, r)] = 1
-        return out
+        w, self.intercept = fit_logistic(np.column_stack([x, earlier]), y, weight)
+        order = np.argsort(words)
+        self.words, self.weights, self.chain = words[order], w[: len(words)][order], w[len(words) :]
 
     def predict(self, words: np.ndarray, doc: np.ndarray, n: int, earlier: np.ndarray) -> np.ndarray:
         """Probabilities of n texts, whose words and their texts are given."""
@@ -100,7 +110,7 @@ def near_copies(rows: list[np.ndarray]) -> np.ndarray:
     return np.array([mix(np.sort(mix(r))[:3]).sum(dtype=U) if len(r) else 0 for r in rows], dtype=U)
 
 
-def fit_chain(rows: list[np.ndarray], labels: np.ndarray, sizes: tuple[int, ...] = (16, 64, 256)) -> list[Link]:
+def fit_chain(rows: list[np.ndarray], labels: np.ndarray, sizes: tuple[int, ...] = (16, 64, 128)) -> list[Link]:
     """A model for each column of labels. rows: distinct word hashes of each text.
 
     Near copies share a fold and one row's weight. The number of words is the one of `sizes` whose
@@ -111,22 +121,25 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, sizes: tuple[int, ...]
     _, group, count = np.unique(near_copies(rows), return_inverse=True, return_counts=True)
     weight, fold = (1 / count[group] if len(rows) else np.zeros(0)), group % FOLDS
     for c in range(labels.shape[1]):
-        y, best = labels[:, c].astype(float), None
-        for size in sizes:
-            held_out = np.zeros(len(rows))
-            for k in range(FOLDS):
-                rest, mine = np.flatnonzero(fold != k), fold == k
-                model = Link([rows[i] for i in rest], y[rest], weight[rest], earlier[rest], size)
-                held_out[mine] = model.predict(flat, doc, len(rows), earlier)[mine]
-            loss = -(weight * np.log(np.maximum(np.where(y == 1, held_out, 1 - held_out), 1e-9))).sum()
-            if best is None or loss < best[0]:
-                best = (loss, size, held_out)
-        chain.append(Link(rows, y, weight, earlier, best[1]))
-        earlier = np.column_stack([earlier, best[2]])
+        y = labels[:, c].astype(float)
+        held_out = {size: np.zeros(len(rows)) for size in sizes}
+        for k in range(FOLDS):
+            rest, mine = np.flatnonzero(fold != k), fold == k
+            own = [rows[i] for i in rest]
+            words = telling_words(own, y[rest], weight[rest], max(sizes))
+            x = presence(own, words)
+            for size in sizes:
+                model = Link(words[:size], x[:, :size], y[rest], weight[rest], earlier[rest])
+                held_out[size][mine] = model.predict(flat, doc, len(rows), earlier)[mine]
+        loss = {size: -(weight * np.log(np.maximum(np.where(y == 1, p, 1 - p), 1e-9))).sum() for size, p in held_out.items()}
+        best = min(sizes, key=loss.get)
+        words = telling_words(rows, y, weight, best)
+        chain.append(Link(words, presence(rows, words), y, weight, earlier))
+        earlier = np.column_stack([earlier, held_out[best]])
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: list[str], most: int = 10_000) -> list[Link]:
+def train(docs: DataFrame, labels: DataFrame, categories: list[str], most: int = 6_000) -> list[Link]:
     """labels: doc_id and a 0/1 column for each category."""
     known = labels.dropna(subset=["doc_id", *categories]).groupBy("doc_id").agg(*[F.max(F.col(c).cast("double")).alias(c) for c in categories])
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # the documented bound of the training sample
@@ -140,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], most: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64())), *batch.columns[2:]], ["doc_id", "words", *categories])
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    met = columns.join(known.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
+    met = columns.join(F.broadcast(known.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id")  # `most` rows of numbers
     got = met.mapInArrow(run, "doc_id long, words array<long>, " + ", ".join(f"`{c}` double" for c in categories)).toArrow().sort_by("doc_id")
     flat = got.column("words").combine_chunks()
     rows = [np.asarray(x, dtype=np.int64).view(U) for x in np.split(flat.flatten().to_numpy(), np.cumsum(flat.value_lengths().to_numpy())[:-1])] if len(got) else []
@@ -176,13 +189,13 @@ def categories(labels: DataFrame) -> DataFrame:
 CHAIN = ["low_quality", "toxic"]
 
 
-def judge(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int = 10_000) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int = 6_000) -> DataFrame:
     """doc_id, p_low_quality, p_toxic and toxic (p_toxic >= least) of each row of documents."""
     chain = train(docs, categories(labels), CHAIN, most)
     return probabilities(docs, chain, CHAIN).drop("row").withColumn("toxic", F.col("p_toxic") >= least)
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int = 10_000) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int = 6_000) -> DataFrame:
     """docs without those judged toxic, all columns kept."""
     chain = docs.sparkSession.sparkContext.broadcast(train(docs, categories(labels), CHAIN, most))
 
