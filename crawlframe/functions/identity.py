@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .urls import without_fragment
 
@@ -30,13 +31,13 @@ def _bytes(values: pd.Series) -> list[bytes]:
     return [b"" if v is None else v if isinstance(v, bytes) else bytes(v) if isinstance(v, bytearray) else v.encode() for v in values]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fnv1a64_hex(values: pd.Series) -> pd.Series:
     """FNV-1a 64 of UTF-8 text, as 16 hex digits; null counts as empty."""
     return pd.Series([f"{h:016x}" for h in fnv1a(_bytes(values)).tolist()])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def request_id(keys: pd.Series) -> pd.Series:
     """32 hex digits: the key's hash, then its hash seeded with the first."""
     data = _bytes(keys)

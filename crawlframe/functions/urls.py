@@ -12,6 +12,11 @@ SUFFIXES = ["co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au",
 SAFE = r"[A-Za-z0-9\-._~!$&'()*+,;=:@%/\[\]|\\]"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, so that expressions stay small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def scheme(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
 
@@ -76,32 +81,41 @@ def encode_path(p: Column) -> Column:
 
 def normalise(url: Column) -> Column:
     """Lower-case scheme and host, no default port, path resolved and encoded, at least `/`. Null for other than http(s)."""
-    s, h, given = scheme(url), host(url), explicit_port(url)
-    known = F.when(s == "http", "80").when(s == "https", "443")
-    user = F.regexp_extract(authority(url), r"^([^@]*@)", 1)
-    p = encode_path(remove_dots(F.when(path(url) == "", "/").otherwise(path(url))))
-    rest = F.regexp_extract(url, r"^[^?#]*([?#].*)$", 1)
-    out = F.concat(s, F.lit("://"), user, h, F.when((given == "") | (given == known), "").otherwise(F.concat(F.lit(":"), given)), p, rest)
-    return F.when(s.isin("http", "https") & (h != ""), out)
+
+    def whole(u: Column) -> Column:
+        parts = F.named_struct(
+            F.lit("s"), scheme(u), F.lit("h"), host(u), F.lit("port"), explicit_port(u), F.lit("p"), path(u), F.lit("user"), F.regexp_extract(authority(u), r"^([^@]*@)", 1), F.lit("rest"), F.regexp_extract(u, r"^[^?#]*([?#].*)$", 1)
+        )
+        return let(parts, joined)
+
+    def joined(x: Column) -> Column:
+        known = F.when(x["s"] == "http", "80").when(x["s"] == "https", "443")
+        p = let(let(F.when(x["p"] == "", "/").otherwise(x["p"]), remove_dots), encode_path)
+        shown = F.when((x["port"] == "") | (x["port"] == known), "").otherwise(F.concat(F.lit(":"), x["port"]))
+        return F.when(x["s"].isin("http", "https") & (x["h"] != ""), F.concat(x["s"], F.lit("://"), x["user"], x["h"], shown, p, x["rest"]))
+
+    return let(url, whole)
 
 
 def resolve(raw: Column, base: Column) -> Column:
     """raw against base, normalised. Null if it can't be a http(s) url: a first segment with a colon that is no url, or a base that is none."""
-    href = F.btrim(raw)
-    root = F.concat(scheme(base), F.lit("://"), authority(base))
-    whole = without_fragment(base)
-    folder = F.regexp_extract(F.when(path(base) == "", "/").otherwise(path(base)), r"^(.*/)", 1)
-    joined = (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
-        .when(F.regexp_extract(href, r"^([^/?#]*)", 1).contains(":"), F.lit(None))
-        .when(href == "", whole)
-        .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, href))
-        .when(href.startswith("#"), F.concat(whole, href))
-        .when(href.startswith("?"), F.concat(F.regexp_replace(whole, r"\?.*$", ""), href))
-        .otherwise(F.concat(root, folder, href))
-    )
-    return normalise(joined)
+
+    def joined(x: Column) -> Column:
+        href, whole = x["href"], x["base"]
+        root = F.concat(scheme(whole), F.lit("://"), authority(whole))
+        folder = F.regexp_extract(F.when(path(whole) == "", "/").otherwise(path(whole)), r"^(.*/)", 1)
+        return (
+            F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
+            .when(F.regexp_extract(href, r"^([^/?#]*)", 1).contains(":"), F.lit(None))
+            .when(href == "", whole)
+            .when(href.startswith("//"), F.concat(scheme(whole), F.lit(":"), href))
+            .when(href.startswith("/"), F.concat(root, href))
+            .when(href.startswith("#"), F.concat(whole, href))
+            .when(href.startswith("?"), F.concat(F.regexp_replace(whole, r"\?.*$", ""), href))
+            .otherwise(F.concat(root, folder, href))
+        )
+
+    return normalise(let(F.named_struct(F.lit("href"), F.btrim(raw), F.lit("base"), without_fragment(base)), joined))
 
 
 def is_address(h: Column) -> Column:
@@ -120,8 +134,8 @@ def same_origin(a: Column, b: Column) -> Column:
 
 
 def same_domain(a: Column, b: Column) -> Column:
-    x, y = registrable_domain(host(a)), registrable_domain(host(b))
-    return F.when(x.isNotNull() & y.isNotNull(), x == y).otherwise(host(a) == host(b))
+    hosts = F.named_struct(F.lit("a"), host(a), F.lit("b"), host(b))
+    return let(hosts, lambda h: F.coalesce(let(registrable_domain(h["a"]), lambda x: x == registrable_domain(h["b"])), h["a"] == h["b"]))
 
 
 def strategy_allows(strategy: str, url: Column, parent: Column) -> Column:

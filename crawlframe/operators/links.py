@@ -39,8 +39,8 @@ class EnqueueSpec:
 
 def extract(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
     """Rows (key, src_url, position, raw, base) of the anchors of pages; base is the first usable <base>, else the page."""
-    first = F.regexp_extract(html, BASE, 1)
-    base = F.when(first == "", F.col(url)).otherwise(F.coalesce(urls.resolve(first, F.col(url)), F.col(url)))
+    first = urls.let(F.regexp_extract(html, BASE, 1), lambda b: F.when(b != "", urls.resolve(b, F.col(url))))
+    base = F.coalesce(first, F.col(url))
     found = pages.select(key, F.col(url).alias("src_url"), base.alias("base"), F.posexplode(F.regexp_extract_all(html, F.lit(HREF), 1)).alias("position", "raw"))
     return found.select(key, "src_url", "position", "raw", "base")
 

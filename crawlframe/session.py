@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
+def show_workers(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package wherever the driver was started; a cluster gets it by --py-files."""
+    root, held = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    if root not in held.get("PYTHONPATH", "").split(":"):
+        held["PYTHONPATH"] = ":".join(filter(None, [root, held.get("PYTHONPATH", "")]))
+
+
 def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSession:
     builder = SparkSession.builder.master(master).config("spark.sql.shuffle.partitions", str(partitions)).config("spark.sql.session.timeZone", "UTC")
     builder = builder.config("spark.sql.adaptive.enabled", "true").config("spark.ui.enabled", "false").config("spark.sql.execution.arrow.pyspark.enabled", "true")
