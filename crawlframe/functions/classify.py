@@ -80,7 +80,7 @@ def anti_bot(body: Column, headers: Column | None = None, custom: dict[str, str]
         hit = _any(text, marks)
         if headers is not None:
 
-            def fits(h: Column, vendor=vendor, names=names, start=start, cookies=cookies) -> Column:
+            def fits(h: Column) -> Column:
                 name, value = F.lower(h["name"]), F.lower(h["value"])
                 met = name.isin(*names) if names else F.lit(False)
                 if start:

@@ -115,7 +115,7 @@ def next_state(attempts: DataFrame, max_retries: int = 3, max_rotations: int = 1
     rotates = error_property(error, "rotates_session")
     out = attempts.withColumn("next", next_)
     retry = F.col("next") == "retry"
-    return out.withColumn("retry_count", F.col("retry_count") + F.when(retry & ~rotates, 1).otherwise(0)).withColumn("session_rotation_count", F.col("session_rotation_count") + F.when(retry & rotates, 1).otherwise(0))
+    return out.withColumns({"retry_count": F.col("retry_count") + F.when(retry & ~rotates, 1).otherwise(0), "session_rotation_count": F.col("session_rotation_count") + F.when(retry & rotates, 1).otherwise(0)})
 
 
 def session_usable(score: Column, usage: Column, retired: Column, expires: Column, now: Column, most_score: int = 3000, most_usage: int = 50) -> Column:

@@ -55,10 +55,12 @@ def renew(leased: DataFrame, now: Column, margin_s: int = 30) -> DataFrame:
 
 def give_back(leased: DataFrame, abandoned: Column, rotating: Column, seq: Column) -> DataFrame:
     """Leases that end without result: abandoned ones go to the head as they were, others to the tail with one more retry or rotation."""
-    out = leased.withColumn("order_no", F.when(abandoned, -seq).otherwise(seq))
-    out = out.withColumn("retry_count", F.col("retry_count") + F.when(abandoned | rotating, 0).otherwise(1))
-    out = out.withColumn("session_rotation_count", F.col("session_rotation_count") + F.when(~abandoned & rotating, 1).otherwise(0))
-    return out.withColumn("lease_expires_at", F.lit(None).cast("timestamp"))
+    return leased.withColumns({
+        "order_no": F.when(abandoned, -seq).otherwise(seq),
+        "retry_count": F.col("retry_count") + F.when(abandoned | rotating, 0).otherwise(1),
+        "session_rotation_count": F.col("session_rotation_count") + F.when(~abandoned & rotating, 1).otherwise(0),
+        "lease_expires_at": F.lit(None).cast("timestamp"),
+    })
 
 
 def finish(leases: DataFrame, outputs: DataFrame) -> DataFrame:

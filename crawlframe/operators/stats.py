@@ -74,7 +74,7 @@ def md5_number(value: Column) -> Column:
 def digest(rows: DataFrame, value: Column) -> DataFrame:
     """A digest that doesn't depend on order: n, sum modulo 2^64, xor, and sum + rotl(xor, 17) modulo 2^64."""
     h = md5_number(value)
-    two64 = F.lit(1 << 64).cast("decimal(38,0)")
+    two64 = F.lit(str(1 << 64)).cast("decimal(38,0)")
     out = rows.agg(F.count(F.lit(1)).alias("n"), (F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)) % two64).cast("decimal(38,0)").alias("total"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("mixed"))
     high = F.expr("shiftrightunsigned(mixed, 47)").cast("decimal(38,0)")
     low = F.expr("mixed & 140737488355327").cast("decimal(38,0)") * F.lit(1 << 17)
