@@ -7,14 +7,15 @@
    where one occurs twice, all its windows are repeated.
 3. Segments that occur once but share an anchor with others may be repeated in part. Segments of one anchor
    go to one task, where they are compared as suffixes: they are dealt to shards, each shard's suffixes are
-   sorted and its Burrows-Wheeler transform taken, and the transforms are merged. The merge starts with the
-   shards one after the other and refines their interleave, two bytes a round, by a stable distribution of
-   the transforms' symbols; boundaries between blocks of equal prefixes are derived on the way. Suffixes
-   are not sorted again. After window / 2 rounds, blocks are the intervals of equal windows.
+   sorted and its Burrows-Wheeler transform taken, and the transforms are merged. The transforms' symbols
+   stand for SYMBOL bytes each. The merge starts with the shards one after the other and refines their
+   interleave, a symbol a round, by a stable distribution of the transforms; boundaries between blocks of
+   equal prefixes are derived on the way. Suffixes are not sorted again. After window / SYMBOL rounds,
+   blocks are the intervals of equal windows.
 4. Anchors with more than `room` bytes of segments (a hot passage in ever other surroundings) are not brought
    into one task: their windows' hashes are counted by a shuffle instead, with the same result.
 
-Windows are compared by 64-bit hash in 2 and 4 and by their bytes in 3.
+Windows are compared by 64-bit hashes, in 3 of SYMBOL bytes each.
 
 Edge cases: texts are judged as UTF-8; null and empty texts have no bytes; texts shorter than the window keep
 everything; repeated rows are repeats of each other; an empty table gives an empty result; other columns are
@@ -34,7 +35,7 @@ from .common import settle
 from .graph import bloom, in_bloom
 from .hashing import U, mix, prefix, spans
 
-WINDOW, ANCHOR, SHARDS, BLOCK = 400, 48, 4, 1 << 22
+WINDOW, ANCHOR, SHARDS, BLOCK, SYMBOL = 400, 48, 4, 1 << 22, 50
 
 
 def runs(data: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
@@ -69,40 +70,48 @@ def runs(data: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[
     return np.concatenate(first), np.concatenate(last), np.concatenate(marks).view(np.int64), np.concatenate(keys).view(np.int64)
 
 
-def _ranks(text: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the rotations of text by at least `depth` bytes, by prefix doubling."""
-    wide = np.zeros(len(text), dtype=U)
-    for k in range(8):
-        wide = (wide << U(8)) | np.roll(text, -k).astype(U)
-    rank, known = np.unique(wide, return_inverse=True)[1].astype(np.int64), 8
-    while known < depth and rank.max() + 1 < len(text):
-        rank = np.unique(rank * len(text) + np.roll(rank, -known), return_inverse=True)[1].astype(np.int64)
+def symbols(texts: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """The alphabet's numbers for the k bytes at each place of the (circular) texts; the order of the alphabet is arbitrary, but one for all."""
+    wide = []
+    for t in texts:
+        sums = prefix(np.concatenate([t, t[:k]]))
+        start = np.arange(len(t))
+        wide.append(spans(sums, start, start + k))
+    number = np.unique(np.concatenate(wide), return_inverse=True)[1].astype(np.int64)
+    return np.split(number, np.cumsum([len(t) for t in texts])[:-1])
+
+
+def shard_bwt(symbol: np.ndarray, k: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rotations of a shard in the order of their symbols, by `depth` bytes at least, and the symbol before each: the shard's transform."""
+    rank, known = symbol, k
+    while known < depth:
+        rank = np.unique(rank * (int(rank.max()) + 1) + np.roll(rank, -known), return_inverse=True)[1].astype(np.int64)
         known *= 2
-    return np.argsort(rank, kind="stable")
+    order = np.argsort(rank, kind="stable")
+    return order, np.roll(symbol, k)[order].astype(np.int32)
 
 
-def shard_bwt(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The rotations of text in order, and the two bytes before each: the shard's transform."""
-    order = _ranks(text, depth)
-    before = (np.roll(text, 2).astype(np.uint16) << 8) | np.roll(text, 1)
-    return order, before[order]
+def _stable_order(symbol: np.ndarray) -> np.ndarray:
+    """Stable order by symbol, distributed by 16 bits at a time."""
+    order = np.argsort((symbol & 65535).astype(np.uint16), kind="stable")
+    if symbol.max() > 65535:
+        order = order[np.argsort((symbol[order] >> 16).astype(np.uint16), kind="stable")]
+    return order
 
 
-def merge_bwt(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' rotations by their first `depth` bytes: the shard of each, and where blocks of equal prefixes begin."""
+def merge_bwt(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave of the shards' rotations by their first `rounds` symbols: the shard of each, and the number of its block of equal prefixes."""
     shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
     block = np.zeros(len(shard), dtype=np.int32)
-    symbol = np.empty(len(shard), dtype=np.uint16)
-    for _ in range(-(-depth // 2)):
+    symbol = np.empty(len(shard), dtype=np.int32)
+    for _ in range(rounds):
         for k, t in enumerate(transforms):
             symbol[shard == k] = t
-        order = np.argsort(symbol, kind="stable")
+        order = _stable_order(symbol)
         shard, sorted_block, sorted_symbol = shard[order], block[order], symbol[order]
         new = np.ones(len(shard), dtype=bool)
         new[1:] = (sorted_symbol[1:] != sorted_symbol[:-1]) | (sorted_block[1:] != sorted_block[:-1])
         block = np.cumsum(new, dtype=np.int32) - 1
-        if block[-1] + 1 == len(block):
-            break
     return shard, block
 
 
@@ -112,8 +121,9 @@ def repeated_starts(segments: list[np.ndarray], window: int = WINDOW) -> list[np
     texts = [np.concatenate([segments[i] for i in d]) for d in deal if d]
     # Rotations run past a segment's end; only those with a whole window before it count.
     valid = [np.concatenate([np.arange(len(segments[i])) <= len(segments[i]) - window for i in d]) for d in deal if d]
-    sorted_shards = [shard_bwt(t, window) for t in texts]
-    shard, block = merge_bwt([b for _, b in sorted_shards], window)
+    k = max(d for d in range(1, SYMBOL + 1) if window % d == 0)
+    sorted_shards = [shard_bwt(x, k, window) for x in symbols(texts, k)]
+    shard, block = merge_bwt([b for _, b in sorted_shards], window // k)
     counts = np.zeros(int(block[-1]) + 1, dtype=np.int64)
     marks = []
     for k, (order, _) in enumerate(sorted_shards):
