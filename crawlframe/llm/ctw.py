@@ -261,7 +261,7 @@ def score(docs: DataFrame, depth: int = DEPTH, room: int = 1_500_000) -> DataFra
                     place = np.minimum(np.searchsorted(names, keys), max(0, len(names) - 1))
                     found = names[place] == keys if len(names) else np.zeros(len(keys), dtype=bool)
                     worth = np.where(found, value[place], 0.0) if len(names) else np.zeros(len(keys))
-                    sums[kind] = np.bincount(doc, weights=worth[at], minlength=b - a)
+                    sums[kind] = np.bincount(doc, weights=worth[at], minlength=b - a).astype(np.float64)  # without keys bincount gives integers
                     known[kind] = np.bincount(doc, weights=found[at], minlength=b - a).astype(np.int64)
                     amount[kind] = np.bincount(doc, minlength=b - a)
                     rest = ~found[at]
