@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.crawl import Waves
 from ..schema import SITEMAP_ENTRIES
 
 MOST_DEPTH = 5
@@ -81,14 +82,20 @@ def expand(roots: DataFrame, bodies: DataFrame, limit: int | None = None, skip:
     at = lambda *c: F.array(*[x.cast("long") for x in c])
     level = roots.select(at(F.col("position")).alias("place"), F.col("url"))
     known, found = None, None
+    # Each level is written once and read again, so the next level's plan starts there.
+    maps, read_rows = Waves(roots.sparkSession, "sitemaps"), Waves(roots.sparkSession, "sitemap-rows")
     for depth in range(MOST_DEPTH + 1):
         first = Window.partitionBy("url").orderBy("place")
         level = level.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
         if known is not None:
             level = level.join(known, "url", "left_anti")
+        level = maps.add(level, depth)
+        if depth and not level.limit(1).count():
+            break
         known = level.select("url") if known is None else known.unionByName(level.select("url"))
         read = level.join(bodies, "url").withColumn("_p", parsed(F.col("body"), F.col("url"))).select("place", "url", F.posexplode("_p.entries").alias("_i", "_e"))
         rows = read.select(F.concat("place", at(F.col("_i"))).alias("place"), F.col("url").alias("sitemap"), "_e.*")
+        rows = read_rows.add(rows, depth)
         mine = rows.filter("kind = 'url'").drop("kind")
         found = mine if found is None else found.unionByName(mine)
         level = rows.filter("kind = 'sitemap'").select("place", F.col("loc").alias("url"))
