@@ -4,11 +4,12 @@
    random projections, in runs of RUN nodes of one label.
 2. Each round joins neighbours: for every node, its nearest neighbours and those it is a neighbour of are
    compared with each other, and every node keeps its K best.
-3. Edges at or above the threshold connect groups. Lists of K are saturated in larger groups, so they are
-   enlarged to the whole group: every group's nodes are compared in blocks of bounded size, which counts
-   all links within groups exactly.
-4. An audit compares a bounded number of nodes with all others; where its recall is below `enough`, further
-   orders are added, and the audit repeated.
+3. Edges at or above the threshold connect groups. A list of K is saturated where all its K are at or above
+   the threshold; a link that no list holds is one between two nodes with saturated lists. All such nodes of
+   a label are compared with each other, in blocks of bounded size, and links between groups connect these.
+4. Every group's nodes are compared in blocks likewise, which counts all links within groups exactly.
+5. An audit compares a bounded number of nodes with all others; where its recall is below `enough`, further
+   orders are added, and the audit repeated. If TRIES times were not enough, all nodes of a label are compared.
 
 Only vectors of one label and one dimension are compared, by cosine in double precision.
 
@@ -157,6 +158,44 @@ def audit(nodes: DataFrame, groups: DataFrame, least: float, queries: int = 400)
     return found / n if n else 1.0
 
 
+def saturated(edges: DataFrame, least: float) -> DataFrame:
+    """The nodes whose lists are full of links, so that they may have more."""
+    lists = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low"))
+    return lists.filter((F.col("n") >= K) & (F.col("low") >= least)).select(F.col("a").alias("node"))
+
+
+def bridges(nodes: DataFrame, groups: DataFrame, least: float, room: int = 2048) -> DataFrame:
+    """Links (a, b, sim) between groups: all nodes of a kind are compared, and of the links that two groups have in a pair of blocks, one is kept. A node without group is one of its own."""
+    held = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("members"))
+    placed = held.join(sizes, "kind").withColumn("blocks", F.ceil(F.col("members") / F.lit(room)).cast("int"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    task = F.xxhash64("kind", F.least("block", "other"), F.greatest("block", "other"))
+    placed = placed.select(task.alias("task"), F.expr("cast(block > other AS bigint)").alias("side"), F.expr("cast(block = other AS bigint)").alias("alone"), "node", "component", "embedding")
+
+    def compare(batches):
+        for group in _groups(batches, ["task"]):
+            node, component, side = (group.column(c).to_numpy() for c in ("node", "component", "side"))
+            x = _unit(_vectors(group.column("embedding").combine_chunks()))
+            left, right = (np.arange(len(node)),) * 2 if group.column("alone")[0].as_py() else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+            for i in range(0, len(left), 512):
+                mine = left[i : i + 512]
+                sim = x[mine] @ x[right].T
+                a, b = np.nonzero((sim >= least) & (component[mine][:, None] != component[right][None, :]))
+                if len(a):
+                    one = np.unique(np.column_stack([component[mine[a]], component[right[b]]]), axis=0, return_index=True)[1]
+                    yield _edges(node[mine[a[one]]], node[right[b[one]]], sim[a[one], b[one]])
+
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(n, "task").sortWithinPartitions("task").mapInArrow(compare, "a long, b long, sim double")
+
+
+def connect(compared: DataFrame, links: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """groups, joined where nodes of `compared` have links between them."""
+    found = settle(bridges(compared, groups, least), "bridges")
+    return components(links.unionByName(found)) if found.limit(1).count() else groups
+
+
 def count_links(members: DataFrame, least: float, room: int = 2048) -> DataFrame:
     """members: node, component, copies, embedding. For each node, the copies of other nodes of its group at or above `least`."""
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
@@ -202,9 +241,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, enough: float = 0.9
         edges = settle(_best(edges.unionByName(fresh)) if edges is not None else fresh, "edges")
         for _ in range(ROUNDS):
             edges = settle(refine(nodes, edges), "edges")
-        groups = components(edges.filter(F.col("sim") >= least))
+        links = edges.filter(F.col("sim") >= least)
+        groups = connect(nodes.join(saturated(edges, least), "node", "left_semi"), links, components(links), least)
         if audit(nodes, groups, least) >= enough:
             break
+    else:
+        groups = connect(nodes, links, groups, least)
     members = kinds.join(groups, "node").select("node", "component", "copies", "low", "embedding")
     links = settle(count_links(members, least), "links")
     lows = groups.join(kinds.select("node", "low"), "node").groupBy("component").agg(F.min("low").alias("least"))

@@ -103,6 +103,22 @@ def test_vectors(spark):
     assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 2, 1, False), (5, 0, 5, True), (6, 0, 6, True)]
 
 
+@pytest.mark.parametrize("enough", [0.99, 1.1])
+def test_vectors_between_full_lists(spark, monkeypatch, enough):
+    monkeypatch.setattr(nn_descent, "TRIES", 1)
+    random = np.random.default_rng(5)
+    base, other = np.eye(64)[0], np.eye(64)[1]
+    centres = [base, 0.985 * base + np.sqrt(1 - 0.985**2) * other]
+    rows = [(12 * c + i, (centre + 0.004 * random.standard_normal(64)).tolist(), 0) for c, centre in enumerate(centres) for i in range(12)]
+    rows += [(100 + i, random.standard_normal(64).tolist(), i % 2) for i in range(40)]
+    x = np.array([v for _, v, _ in rows])
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    near = (x @ x.T >= 0.98) & (np.array([k for *_, k in rows])[:, None] == np.array([k for *_, k in rows])) & ~np.eye(len(rows), dtype=bool)
+    assert near[:12, 12:24].any()
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), enough=enough).collect()}
+    assert got == {i: (int(n), 0 if i < 24 else i) for (i, *_), n in zip(rows, near.sum(axis=1))}
+
+
 def test_templates(spark):
     urls = [f"http://a.example.net/{lang}/{i}" for lang in ("es", "fr", "de") for i in range(20)] + [None, "no scheme", "HTTP://WWW.Example.COM/en/1#x"]
     got = url_templates.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
