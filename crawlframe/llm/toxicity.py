@@ -44,7 +44,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([spans(sums, start, end), stems]), np.concatenate([doc, doc[stem]])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3, rounds: int = 10) -> tuple[np.ndarray, float]:
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Weights and intercept, by Newton's method with a ridge on the weights; rows count by `weight`."""
     x1 = np.column_stack([x, np.ones(len(x))])
     w, penalty = np.zeros(x1.shape[1]), np.append(np.full(x.shape[1], ridge), 1e-6)
@@ -110,11 +110,17 @@ def near_copies(rows: list[np.ndarray]) -> np.ndarray:
     return np.array([mix(np.sort(mix(r))[:3]).sum(dtype=U) if len(r) else 0 for r in rows], dtype=U)
 
 
-def fit_chain(rows: list[np.ndarray], labels: np.ndarray, sizes: tuple[int, ...] = (16, 64, 128)) -> list[Link]:
-    """A model for each column of labels. rows: distinct word hashes of each text.
+def fit_chain(rows: list[np.ndarray], labels: np.ndarray, sizes: tuple[int, ...] = (16, 64, 256)) -> list[Link]:
+    """A model for each column of labels. rows: distinct word hashes of each text."""
+    return fit_held_out(rows, labels, sizes)[0]
 
-    Near copies share a fold and one row's weight. The number of words is the one of `sizes` whose
-    out-of-fold predictions have the least loss; those predictions go on to the later categories.
+
+def fit_held_out(rows: list[np.ndarray], labels: np.ndarray, sizes: tuple[int, ...] = (16, 64, 256)) -> tuple[list[Link], np.ndarray]:
+    """A model for each column of labels, and their out-of-fold predictions.
+
+    Near copies share a fold and one row's weight. The number of words is the one whose out-of-fold
+    predictions have the least loss: one of `sizes`, or, as long as the largest number tried is the best
+    and there are more words, its double. Those predictions go on to the later categories.
     """
     chain, earlier = [], np.zeros((len(rows), 0))
     flat, doc = (np.concatenate(rows) if rows else np.zeros(0, dtype=U)), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -122,24 +128,28 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, sizes: tuple[int, ...]
     weight, fold = (1 / count[group] if len(rows) else np.zeros(0)), group % FOLDS
     for c in range(labels.shape[1]):
         y = labels[:, c].astype(float)
-        held_out = {size: np.zeros(len(rows)) for size in sizes}
-        for k in range(FOLDS):
-            rest, mine = np.flatnonzero(fold != k), fold == k
-            own = [rows[i] for i in rest]
-            words = telling_words(own, y[rest], weight[rest], max(sizes))
-            x = presence(own, words)
-            for size in sizes:
-                model = Link(words[:size], x[:, :size], y[rest], weight[rest], earlier[rest])
-                held_out[size][mine] = model.predict(flat, doc, len(rows), earlier)[mine]
-        loss = {size: -(weight * np.log(np.maximum(np.where(y == 1, p, 1 - p), 1e-9))).sum() for size, p in held_out.items()}
-        best = min(sizes, key=loss.get)
+        held_out, loss, tried = {}, {}, list(sizes)
+        while tried:
+            held_out |= {size: np.zeros(len(rows)) for size in tried}
+            found = 0
+            for k in range(FOLDS):
+                rest, mine = np.flatnonzero(fold != k), fold == k
+                own = [rows[i] for i in rest]
+                words = telling_words(own, y[rest], weight[rest], max(tried))
+                x, found = presence(own, words), max(found, len(words))
+                for size in tried:
+                    model = Link(words[:size], x[:, :size], y[rest], weight[rest], earlier[rest])
+                    held_out[size][mine] = model.predict(flat, doc, len(rows), earlier)[mine]
+            loss |= {size: -(weight * np.log(np.maximum(np.where(y == 1, held_out[size], 1 - held_out[size]), 1e-9))).sum() for size in tried}
+            best = min(loss, key=loss.get)
+            tried = [2 * best] if best == max(loss) and found >= best else []
         words = telling_words(rows, y, weight, best)
         chain.append(Link(words, presence(rows, words), y, weight, earlier))
         earlier = np.column_stack([earlier, held_out[best]])
-    return chain
+    return chain, earlier
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: list[str], most: int = 6_000) -> list[Link]:
+def train(docs: DataFrame, labels: DataFrame, categories: list[str], most: int = 10_000) -> list[Link]:
     """labels: doc_id and a 0/1 column for each category."""
     known = labels.dropna(subset=["doc_id", *categories]).groupBy("doc_id").agg(*[F.max(F.col(c).cast("double")).alias(c) for c in categories])
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # the documented bound of the training sample
@@ -189,13 +199,13 @@ def categories(labels: DataFrame) -> DataFrame:
 CHAIN = ["low_quality", "toxic"]
 
 
-def judge(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int = 6_000) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int = 10_000) -> DataFrame:
     """doc_id, p_low_quality, p_toxic and toxic (p_toxic >= least) of each row of documents."""
     chain = train(docs, categories(labels), CHAIN, most)
     return probabilities(docs, chain, CHAIN).drop("row").withColumn("toxic", F.col("p_toxic") >= least)
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int = 6_000) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int = 10_000) -> DataFrame:
     """docs without those judged toxic, all columns kept."""
     chain = docs.sparkSession.sparkContext.broadcast(train(docs, categories(labels), CHAIN, most))
 

@@ -91,6 +91,18 @@ def test_toxicity(spark):
     assert toxicity.judge(docs(spark, rows), labels.limit(0)).filter("toxic").count() == 0
 
 
+def test_toxicity_of_many_words():
+    random = np.random.default_rng(3)
+    vile, plain = (random.permutation(1 << 20)[:n].astype(np.uint64) for n in (330, 3000))
+    bad = np.repeat(np.arange(330), 8)
+    rows = [np.unique(np.append(random.choice(plain, 12), vile[i])) for i in bad] + [np.unique(random.choice(plain, 13)) for _ in bad]
+    y = np.repeat([1, 0], len(bad))
+    chain, held_out = toxicity.fit_held_out(rows, y[:, None])
+    assert len(chain[0].words) > 256 and ((held_out[:, 0] >= 0.5) == y).mean() > 0.95
+    flat, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    assert ((toxicity.fit_chain(rows, y[:, None])[0].predict(flat, doc, len(rows), np.zeros((len(rows), 0))) >= 0.5) == y).mean() > 0.95
+
+
 def test_scores(spark):
     got = ctw.score(docs(spark), depth=2, room=5).collect()
     assert len(got) == len(TEXTS) and all(r.score < 0 and r.base_score < 0 for r in got) and {r.n_tokens for r in got if r.doc_id in (3, 4)} == {1}
