@@ -117,22 +117,22 @@ def laid_out(sized: DataFrame, runs: int = RUNS) -> DataFrame:
     return joined.select(*sized.columns, (F.col("head") + F.col("before")).alias("first"))
 
 
-def taken(laid: DataFrame, mix: DataFrame, block: int = 512) -> DataFrame:
-    """laid with `uses`: for each pass that takes words of the document, structs (epoch, at, n): n words from word `at` on.
+def taken(laid: DataFrame, mix: DataFrame, block: int = 512, more: tuple[str, ...] = ()) -> DataFrame:
+    """laid with `uses`: for each pass that takes words of the document, structs (epoch, at, n, and `more` of the slot): n words from word `at` on.
 
     Documents' block ranges join the slots by (source, block); both keys spread a hot source.
     """
     spans = laid.filter("size > 0").selectExpr(
         "doc_id", "source", "size", "first", f"explode(sequence(first div {block}, (first + size - 1) div {block})) AS b"
     )
-    use = mix.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "epoch", "take")
+    use = mix.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "epoch", "take", *more)
     # Listed slots outgrow the rows Spark measured before listing, so it must not broadcast them.
     met = spans.join(use.hint("merge"), spans["source"].eqNullSafe(use["_s"]) & (spans["b"] == use["_b"]))
     met = met.selectExpr(
-        "doc_id", "source", "size", "first", "epoch", f"greatest(b * {block}, first) - first AS at",
+        "doc_id", "source", "size", "first", "epoch", *more, f"greatest(b * {block}, first) - first AS at",
         f"least(b * {block} + take, first + size) - greatest(b * {block}, first) AS n",
     ).filter("n > 0")
-    uses = met.groupBy("doc_id", "source", "size", "first").agg(F.sort_array(F.collect_list(F.struct("epoch", "at", "n"))).alias("uses"))
+    uses = met.groupBy("doc_id", "source", "size", "first").agg(F.sort_array(F.collect_list(F.struct("epoch", "at", "n", *more))).alias("uses"))
     uses = uses.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("first").alias("_f"), "uses")
     on = laid["doc_id"].eqNullSafe(uses["_d"]) & laid["source"].eqNullSafe(uses["_s"]) & (laid["size"] == uses["_z"]) & (laid["first"] == uses["_f"])
     return laid.join(uses, on, "left").drop("_d", "_s", "_z", "_f")
@@ -155,28 +155,36 @@ def mix_digest(docs: DataFrame, block: int = 512, seed: int = 0) -> DataFrame:
     )
 
 
-def mix_documents(docs: DataFrame, block: int = 512, seed: int = 0) -> DataFrame:
-    """The mix as rows of documents: one for each pass over a document, with the words that the pass takes.
+def mix_placed(docs: DataFrame, block: int = 512, seed: int = 0, shard_slots: int = 4096) -> DataFrame:
+    """The mix as rows of documents: one for each shard and pass over a document, with the words that the pass has in the shard, and
+    _shard and _place, the first place of these words.
 
-    A pass that takes the whole document keeps its text; otherwise the taken words are joined by single
+    A pass that takes the whole document in one shard keeps its text; otherwise the taken words are joined by single
     spaces, in order. n_chars, where there is one, is the new text's length. Documents not drawn go.
     """
     numbered = docs.withColumn("size", F.size(words(F.col("text"))).cast("long"))
     if "size" in docs.columns:
         raise ValueError("documents have a column named size already; rename it")
     sized = settle(measure(docs), "sizes")
-    laid = taken(laid_out(sized), slots(settle(targets(sized), "targets"), block, seed), block)
+    laid = taken(laid_out(sized), slots(settle(targets(sized), "targets"), block, seed, shard_slots), block, ("shard", "place"))
     # Rows that agree in doc_id, source and size are told apart by their order among equals.
     same = Window.partitionBy("doc_id", "source", "size")
     laid = laid.filter("uses IS NOT NULL OR size > 0").withColumn("_n", F.row_number().over(same.orderBy("first")))
     laid = laid.filter("uses IS NOT NULL").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_n", "uses")
     numbered = numbered.withColumn("_m", F.row_number().over(same.orderBy(F.xxhash64("text"))))
     on = numbered["doc_id"].eqNullSafe(laid["_d"]) & numbered["source"].eqNullSafe(laid["_s"]) & (numbered["size"] == laid["_z"]) & (numbered["_m"] == laid["_n"])
-    met = numbered.join(laid, on).withColumn("_e", F.explode(F.array_distinct(F.transform("uses", lambda u: u["epoch"]))))
-    mine = F.filter("uses", lambda u: u["epoch"] == F.col("_e"))
+    met = numbered.join(laid, on).withColumn("_e", F.explode(F.array_distinct(F.transform("uses", lambda u: F.struct(u["epoch"].alias("epoch"), u["shard"].alias("shard"))))))
+    mine = F.filter("uses", lambda u: (u["epoch"] == F.col("_e.epoch")) & (u["shard"] == F.col("_e.shard")))
     met = met.withColumn("_mine", mine).withColumn("_words", F.aggregate("_mine", F.lit(0).cast("long"), lambda a, u: a + u["n"]))
     part = F.transform(F.array(words(F.col("text"))), lambda w: F.array_join(F.flatten(F.transform("_mine", lambda u: F.slice(w, (u["at"] + 1).cast("int"), u["n"].cast("int")))), " "))[0]
     met = met.withColumn("text", F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
         met = met.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return met.select(*docs.columns)
+    return met.select(*docs.columns, F.col("_e.shard").alias("_shard"), F.array_min(F.transform("_mine", lambda u: u["place"])).alias("_place"))
+
+
+def mix_documents(docs: DataFrame, block: int = 512, seed: int = 0, shard_slots: int = 4096) -> DataFrame:
+    """The rows of mix_placed in the order of the shards and of the places in them, with the columns of docs."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = mix_placed(docs, block, seed, shard_slots).repartitionByRange(parts, "_shard", "_place")
+    return placed.sortWithinPartitions("_shard", "_place").select(*docs.columns)

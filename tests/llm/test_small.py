@@ -66,6 +66,25 @@ def test_mixing(spark):
     assert mixing.mix_digest(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_mixing_shards(spark):
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(i * 37 % 90))) for i in range(40)]
+    df = docs(spark, rows)
+    target = mixing.targets(mixing.measure(df))
+    drawn = Counter()
+    for r in mixing.slots(target, 16, 0, 8).collect():
+        drawn[r.shard, r.source] += r.take
+    placed = mixing.mix_placed(df, 16, 0, 8).collect()
+    met = Counter()
+    for r in placed:
+        met[r._shard, r.source] += len(r.text.split())
+    assert met == drawn and len({shard for shard, _ in met}) > 5
+    got = [(r.doc_id, r.text) for r in mixing.mix_documents(df, 16, 0, 8).collect()]
+    at = {}
+    for r in placed:
+        at.setdefault((r.doc_id, r.text), set()).add(r._shard)
+    assert len(got) == len(placed) and all(min(at[a]) <= max(at[b]) for a, b in zip(got, got[1:]))
+
+
 def test_codec():
     P, tiktoken = pytest.importorskip("public_tokenizers"), pytest.importorskip("tiktoken")
     codec = bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
