@@ -56,6 +56,25 @@ def test_dedup(spark, room):
     assert (1, 12 * len(TEXTS[0][1]), 12 * len(TEXTS[0][1])) in got and (3, 0, 0) in got and (5, 60, 0) in got
 
 
+@pytest.mark.parametrize("room", [2 << 20, 100])
+def test_dedup_of_shared_passages(spark, room):
+    random = np.random.default_rng(9)
+    fresh = lambda n: "".join(random.choice(list("abcdefgh é"), n))
+    a, b, c = fresh(900), fresh(500), fresh(399)
+    texts = [fresh(300) + a + fresh(200), fresh(50) + a[100:700] + fresh(700) + b, b + fresh(10) + a[300:] + fresh(90), fresh(40) + c, c.encode()[:390].decode(errors="ignore") + fresh(60), fresh(30) + a[:420] + fresh(20) + a[480:], None, "", fresh(450) * 2]
+    rows = list(enumerate(texts)) + [(20, fresh(30) + texts[0][:900]), (21, texts[2]), (21, texts[2])]
+    every = Counter((t or "").encode()[k : k + 400] for _, t in rows for k in range(len((t or "").encode()) - 399))
+    want = []
+    for i, t in rows:
+        data = (t or "").encode()
+        gone = np.zeros(len(data), dtype=bool)
+        for k in range(len(data) - 399):
+            gone[k : k + 400] |= every[data[k : k + 400]] > 1
+        want.append((i, len(data), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(data, np.uint8)[~gone])).hexdigest()))
+    assert sum(0 < n < size for _, size, n, *_ in want) >= 4
+    assert sorted(map(tuple, bwt_dedup.digest(docs(spark, rows), room=room).collect())) == sorted(want)
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (i * 37 % 300)) for i in range(60)] + [(None, "x y"), (7, None)]
     for block in (16, 512):
