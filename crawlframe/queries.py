@@ -433,7 +433,7 @@ def hit_accounting(spark, d):
 
 
 def _items(spark, d):
-    item = F.to_json(F.struct(F.col("doc_id").alias("id"), F.left("text", F.lit(40)).alias("text"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("lang"), (F.col("n_chars") > 1000).alias("long")))
+    item = F.to_json(F.struct(F.col("doc_id").alias("id"), "text", F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("lang"), (F.col("n_chars") > 1000).alias("long")))
     return table(spark, d, "documents").select((F.col("doc_id") + 1).alias("seq"), item.alias("item"))
 
 

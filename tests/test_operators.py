@@ -70,3 +70,17 @@ def test_sitemap(spark):
     rows = [("i", body("<sitemapindex><sitemap><loc>b</loc></sitemap><sitemap><loc>a</loc></sitemap></sitemapindex>")), ("a", b"<urlset><url><loc>1</loc></url><url><loc>2</loc><priority>x</priority></url></urlset>"), ("b", b"<urlset><url><loc>3</loc></url><url><loc>1</loc></url><url><lo")]
     found = sitemap.expand(spark.createDataFrame([(0, "i")], "position int, url string"), spark.createDataFrame(rows, "url string, body binary"))
     assert [r.loc for r in found.orderBy("place").collect()] == ["3", "1"]
+
+
+def test_csv_rows_hold_whole_texts(spark):
+    import csv
+    import io
+
+    from crawlframe import queries
+
+    d = "/root/testdata/sf0.001"
+    lines = queries.dataset_csv_rows(spark, d).orderBy("seq").collect()
+    got = [(r.seq, next(csv.reader(io.StringIO(r.line, newline="")))) for r in lines]
+    rows = spark.read.parquet(f"{d}/documents.parquet").orderBy("doc_id").collect()
+    want = [(r.doc_id + 1, [str(r.doc_id), (r.lang or "") if r.doc_id % 3 == 0 else "", "" if r.n_chars is None else str(r.n_chars > 1000).lower(), r.text or ""]) for r in rows]
+    assert got == want and any(len(r.text or "") > 40 for r in rows)
