@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +19,14 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    """The folder all executors share: spark.checkpoint.dir, or where that is unset (local mode, in tests) one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="crawlframe-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -52,3 +58,20 @@ def show_workers(spark: SparkSession) -> None:
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     show_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def free(name: str, taken: Iterable[str]) -> str:
+    """name, or with underscores before it until no column is called so; names that differ in case only clash too."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name = "_" + name
+    return name
+
+
+def pieces(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows with about `most` bytes of text; a longer text is a run of its own or ends one."""
+    lengths = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy()) if len(texts) else np.zeros(0, dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(lengths // most)) + 1 if len(lengths) else []
+    for a, b in zip([0, *cuts], [*cuts, len(texts)]):
+        if b > a:
+            yield int(a), int(b)

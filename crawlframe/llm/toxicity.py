@@ -20,15 +20,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
 from .hashing import U, lower, mix, prefix, spans
 
 FOLDS = 5
 STEM = 6
-CHARS = 4_000_000
+CHARS = 1_000_000
 _codes = np.arange(256)
 _GAP = (_codes < 128) & ~(((_codes >= 48) & (_codes <= 57)) | ((_codes >= 65) & (_codes <= 90)) | ((_codes >= 97) & (_codes <= 122)))
 
@@ -170,26 +170,28 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], most: int =
     return fit_chain(rows, np.column_stack([got.column(c).to_numpy() for c in categories]))
 
 
+def _predict(texts: pa.Array, chain: list[Link]) -> np.ndarray:
+    """Probabilities of each text, a column for each category."""
+    words, doc = word_hashes([x or b"" for x in texts.cast(pa.binary()).to_pylist()])
+    earlier = np.zeros((len(texts), 0))
+    for link in chain:
+        earlier = np.column_stack([earlier, link.predict(words, doc, len(texts), earlier)])
+    return earlier
+
+
 def probabilities(docs: DataFrame, chain: list[Link], categories: list[str]) -> DataFrame:
-    """doc_id, `row` (a hash of the text) and p_<category> of each row of documents."""
+    """doc_id and p_<category> of each row of documents."""
     held = docs.sparkSession.sparkContext.broadcast(chain)  # some hundreds of words for each category
 
     def run(batches):
         for batch in batches:
-            lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy())
-            cuts = np.flatnonzero(np.diff(lengths // CHARS)) + 1 if len(lengths) else []
-            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
-                if b == a:
-                    continue
-                words, doc = word_hashes([x or b"" for x in batch.column(2)[a:b].cast(pa.binary()).to_pylist()])
-                earlier = np.zeros((b - a, 0))
-                for link in held.value:
-                    earlier = np.column_stack([earlier, link.predict(words, doc, b - a, earlier)])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], *(pa.array(c) for c in earlier.T)], ["doc_id", "row", *(f"p_{c}" for c in categories)])
+            for a, b in pieces(batch.column(1), CHARS):
+                got = _predict(batch.column(1)[a:b], held.value)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *(pa.array(c) for c in got.T)], ["doc_id", *(f"p_{c}" for c in categories)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = ", ".join(f"`p_{c}` double" for c in categories)
-    return docs.select("doc_id", F.xxhash64("text").alias("row"), F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, row long, {fields}")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, {fields}")
 
 
 def categories(labels: DataFrame) -> DataFrame:
@@ -202,26 +204,17 @@ CHAIN = ["low_quality", "toxic"]
 def judge(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int = 10_000) -> DataFrame:
     """doc_id, p_low_quality, p_toxic and toxic (p_toxic >= least) of each row of documents."""
     chain = train(docs, categories(labels), CHAIN, most)
-    return probabilities(docs, chain, CHAIN).drop("row").withColumn("toxic", F.col("p_toxic") >= least)
+    return probabilities(docs, chain, CHAIN).withColumn("toxic", F.col("p_toxic") >= least)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int = 10_000) -> DataFrame:
-    """docs without those judged toxic, all columns kept."""
-    chain = docs.sparkSession.sparkContext.broadcast(train(docs, categories(labels), CHAIN, most))
-
-    @F.pandas_udf("boolean")
-    def clean(texts):
-        import pandas as pd
-
-        out = []
-        data = [t.encode() if t else b"" for t in texts]
-        for i in range(0, len(data), 1000):
-            part = data[i : i + 1000]
-            words, doc = word_hashes(part)
-            earlier = np.zeros((len(part), 0))
-            for link in chain.value:
-                earlier = np.column_stack([earlier, link.predict(words, doc, len(part), earlier)])
-            out.append(earlier[:, -1] < least)
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, dtype=bool))
-
-    return docs.filter(clean(F.col("text").cast("string")))
+    """docs without those judged toxic, all columns kept. Rows are judged as they pass, about CHARS bytes of text at a time."""
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, categories(labels), CHAIN, most))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for a, b in pieces(batch.column(at), CHARS):
+                yield batch.slice(a, b - a).filter(pa.array(_predict(batch.column(at)[a:b], held.value)[:, -1] < least))
+
+    return docs.mapInArrow(run, docs.schema)
