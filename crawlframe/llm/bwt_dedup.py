@@ -31,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import free, pieces, settle
 from .graph import bloom, in_bloom
 from .hashing import U, mix, prefix, spans
 
 WINDOW, ANCHOR, SHARDS, BLOCK, SYMBOL = 400, 48, 4, 1 << 22, 50
+CHARS = 1_000_000
 
 
 def runs(data: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
@@ -147,9 +148,14 @@ def _ranges(flags: np.ndarray) -> np.ndarray:
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1], axis=1)
 
 
+def _keys(docs: DataFrame, one: str = "k1", two: str = "k2") -> list:
+    """128 bits: Spark's hash goes on from what came before, so the second starts with another number."""
+    return [F.xxhash64("text").alias(one), F.xxhash64(F.lit(7), F.col("text")).alias(two)]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """Rows of one text have one key: what is removed depends on the text and all texts only."""
-    return docs.select(F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(7)).alias("k2"), F.col("text").cast("string").alias("text"))
+    return docs.select(*_keys(docs), F.col("text").cast("string").alias("text"))
 
 
 def _rows(docs: DataFrame, window: int) -> DataFrame:
@@ -276,10 +282,12 @@ def repeats(docs: DataFrame, window: int = WINDOW, room: int = 2 << 20, batch_by
     return spans_.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
-def _joined(docs: DataFrame, spans_: DataFrame, columns: list) -> DataFrame:
-    rows = docs.select(*columns, F.xxhash64("text").alias("_k1"), F.xxhash64("text", F.lit(7)).alias("_k2"))
-    found = spans_.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.transform("spans", lambda s: s["start"]).alias("_starts"), F.transform("spans", lambda s: s["end"]).alias("_ends"))
-    return rows.join(found.hint("merge"), ["_k1", "_k2"], "left")
+def _joined(docs: DataFrame, spans_: DataFrame, columns: list, names: tuple[str, ...]) -> DataFrame:
+    """docs' columns, and the starts and ends (null without) of the text's spans. names: free ones for two keys, starts and ends."""
+    one, two, starts, ends = names
+    rows = docs.select(*columns, *_keys(docs, one, two))
+    found = spans_.select(F.col("k1").alias(one), F.col("k2").alias(two), F.transform("spans", lambda s: s["start"]).alias(starts), F.transform("spans", lambda s: s["end"]).alias(ends))
+    return rows.join(found.hint("merge"), [one, two], "left").drop(one, two)
 
 
 def kept(data: bytes, starts, ends) -> tuple[bytes, int]:
@@ -293,39 +301,55 @@ def kept(data: bytes, starts, ends) -> tuple[bytes, int]:
     return np.frombuffer(data, dtype=np.uint8)[~gone].tobytes(), len(_ranges(gone))
 
 
+def _cut(texts: pa.Array, starts: pa.Array, ends: pa.Array):
+    """For each text its bytes, what is left of them and the number of removed runs."""
+    for i, data in enumerate(texts.cast(pa.binary()).to_pylist()):
+        some = starts[i].is_valid
+        yield data or b"", *kept(data or b"", starts[i].values.to_numpy() if some else None, ends[i].values.to_numpy() if some else None)
+
+
 def digest(docs: DataFrame, window: int = WINDOW, room: int = 2 << 20, batch_bytes: int = 1 << 20) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of documents."""
-    found = _joined(docs, settle(repeats(docs, window, room, batch_bytes), "spans"), ["doc_id", F.col("text").cast("string").alias("text")])
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and n_chars (whole characters left) of each row of documents."""
+    names = ("_k1", "_k2", "_starts", "_ends")
+    found = _joined(docs, settle(repeats(docs, window, room, batch_bytes), "spans"), ["doc_id", F.col("text").cast("string").alias("text")], names)
 
     def run(batches):
         for batch in batches:
-            starts, ends = batch.column(2), batch.column(3)
-            out: list[list] = [[], [], [], []]
-            for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                data = text or b""
-                some = starts[i].is_valid
-                left, n = kept(data, starts[i].values.to_numpy() if some else None, ends[i].values.to_numpy() if some else None)
-                for column, x in zip(out, (len(data), len(data) - len(left), n, hashlib.sha256(left).hexdigest())):
+            out: list[list] = [[], [], [], [], []]
+            for data, left, n in _cut(*batch.columns[1:]):
+                for column, x in zip(out, (len(data), len(data) - len(left), n, hashlib.sha256(left).hexdigest(), len(left.decode(errors="ignore")))):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(out, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_chars"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return found.select("doc_id", "text", "_starts", "_ends").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select("doc_id", "text", "_starts", "_ends").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_chars long")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, room: int = 2 << 20, batch_bytes: int = 1 << 20) -> DataFrame:
     """docs with repeated passages taken out of text; n_chars, where there is one, is the new text's length."""
-    if {"_k1", "_k2", "_starts", "_ends"} & set(docs.columns):
-        raise ValueError("documents have a column named _k1, _k2, _starts or _ends already; rename it")
-    found = _joined(docs, settle(repeats(docs, window, room, batch_bytes), "spans"), docs.columns)
+    names = tuple(free(n, docs.columns) for n in ("_k1", "_k2", "_starts", "_ends"))
+    found = _joined(docs, settle(repeats(docs, window, room, batch_bytes), "spans"), docs.columns, names)
+    at, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
-    @F.pandas_udf("string")
-    def left(texts, starts, ends):
-        import pandas as pd
-
-        return pd.Series([kept(t.encode(), a, b)[0].decode(errors="ignore") for t, a, b in zip(texts, starts, ends)])
-
-    out = found.withColumn("text", F.when(F.col("_starts").isNull(), F.col("text")).otherwise(left("text", "_starts", "_ends")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_starts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    def run(batches):
+        for batch in batches:
+            for a, b in pieces(batch.column(at), CHARS):
+                part = batch.slice(a, b - a)
+                columns, hit = part.columns[:-2], part.column(len(part.columns) - 2).is_valid().to_numpy(zero_copy_only=False)
+                if hit.any():
+                    which = np.flatnonzero(hit)
+                    some = part.take(pa.array(which))
+                    left = [x.decode(errors="ignore") for _, x, _ in _cut(some.column(at), some.column(len(columns)), some.column(len(columns) + 1))]
+                    texts = columns[at].to_pylist()
+                    for i, x in zip(which.tolist(), left):
+                        texts[i] = x
+                    columns[at] = pa.array(texts, columns[at].type)
+                    if count is not None:
+                        sizes = columns[count].to_pylist()
+                        for i, x in zip(which.tolist(), left):
+                            sizes[i] = len(x)
+                        columns[count] = pa.array(sizes, columns[count].type)
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-2])
+
+    return found.mapInArrow(run, docs.schema)

@@ -72,7 +72,7 @@ def test_dedup_of_shared_passages(spark, room):
             gone[k : k + 400] |= every[data[k : k + 400]] > 1
         want.append((i, len(data), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(data, np.uint8)[~gone])).hexdigest()))
     assert sum(0 < n < size for _, size, n, *_ in want) >= 4
-    assert sorted(map(tuple, bwt_dedup.digest(docs(spark, rows), room=room).collect())) == sorted(want)
+    assert sorted(tuple(r)[:5] for r in bwt_dedup.digest(docs(spark, rows), room=room).collect()) == sorted(want)
 
 
 def test_mixing(spark):
