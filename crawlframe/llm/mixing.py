@@ -1,18 +1,20 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
-Each source's documents, in a fixed order, form one stream of words which is packed
-into blocks of `block` words. A source passes over its stream as often as its target
-allows: whole passes first, then a pass over part of its blocks. Every use of a block
-is a slot; slot q of a pass maps to a block through a keyed permutation of the source's
-block numbers. All slots of all sources are spread over the output shards by one more
-permutation, so the sources' counts in a shard are a multinomial draw conditioned on
-the sources' exact totals. Slots then join the blocks by (source, block number).
+Each source's documents, in a fixed order, form one stream of words which is packed into blocks of `block`
+words. A source's target, in blocks, is its number of slots. Every slot of every output shard draws its
+source by a hash, with the targets as weights: the counts of the sources in a shard are a multinomial draw.
+A source's slots are numbered through the shards by these counts. As draws come near the targets only,
+those of a source beyond its number of slots go, in order, to the sources drawn too seldom; so no
+source is used beyond its target, and no document more than `most` times.
 
-Permutations are swap-or-not networks: bijections on [0, n) for any n, computed per row.
+Slot i of a source is slot i % blocks of pass i / blocks over its blocks, and maps to a block through a keyed
+permutation of the source's block numbers (a swap-or-not network: a bijection on [0, n) for any n, computed
+per row). Slots then join the blocks by (source, block number).
 
 Edge cases: a null source is a source of its own and comes last; null or empty texts have
 size 0 and are taken 0 times; a source without words has target 0; repeated rows count as
-documents of their own; an empty table gives an empty result; other columns are ignored.
+documents of their own; a document longer than a block is in several; an empty table gives an empty result;
+other columns are ignored, and kept by `mix_documents`.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, words
+from .common import free, settle, words
 
 ROUNDS = 12
 #: Documents of a source are laid out in this many runs, so that no task orders a whole source.
@@ -71,43 +73,86 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return left.select("source", "source_size", "weight", target.alias("target"))
 
 
-def slots(target: DataFrame, block: int = 512, seed: int = 0, shard_slots: int = 4096) -> DataFrame:
-    """Rows (shard, place, source, epoch, block, take): the mix, a block at a time.
-
-    `take` is the number of words used from the block's start; it is the block's length but for the
-    last slot of a source, so each source's words come to its rounded target exactly.
-    """
-    want = "least(cast(round(target) AS bigint), 3 * source_size)"
+def planned(target: DataFrame, block: int = 512, seed: int = 0, most: int = 3) -> DataFrame:
+    """For each source with words: its number `id`, its slots' number n, and what maps a slot to a block. Orders the table of sources, one row each, in one task."""
+    want = f"least(cast(round(target) AS bigint), {most} * source_size)"
     plan = target.filter("source_size > 0").selectExpr(
         "source", "source_size", f"{want} AS want", f"source_size div {block} AS whole", f"source_size % {block} AS rest",
         f"cast(ceil(source_size / {block}) AS bigint) AS blocks",
         f"concat('{seed}', coalesce(concat(':s', source), ':n')) AS tag",
     )
     plan = plan.selectExpr("*", "want div source_size AS full", "want % source_size AS part")
-    plan = plan.selectExpr("*", f"full * blocks + cast(ceil(part / {block}) AS bigint) AS n", f"{_keys('tag', 'whole')} AS keys")
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    plan = plan.withColumn("first", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    plan = plan.withColumn("all", F.sum("n").over(Window.partitionBy()))
-    # A hot source has most slots: its row is cut into runs of slots before they are listed.
-    # The number of partitions is fixed, as these rows are few and small until they are listed.
-    parts = int(target.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = plan.filter("n > 0").selectExpr("*", "explode(sequence(0L, (n - 1) div 10000)) AS run").repartition(parts, "source", "run")
-    each = runs.selectExpr("*", "explode(sequence(run * 10000, least(run * 10000 + 9999, n - 1))) AS slot")
+    plan = plan.selectExpr("*", f"full * blocks + cast(ceil(part / {block}) AS bigint) AS n", f"{_keys('tag', 'whole')} AS keys").filter("n > 0")
+    return plan.withColumn("id", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long"))
+
+
+def _ranged(plan: DataFrame, n: str) -> DataFrame:
+    """id and first, the sum of column n over the sources before, of the sources with n > 0; and `all`, the sum over all."""
+    some = plan.filter(F.col(n) > 0)
+    before = F.coalesce(F.sum(n).over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return some.select("id", before.alias("first"), F.col(n).alias("n"), F.sum(n).over(Window.partitionBy()).alias("all"))
+
+
+def _located(rows: DataFrame, ranged: DataFrame, cell: int = 8192) -> DataFrame:
+    """rows (with `v`) with the id and first of the source in whose range v lies. Cells of equal width keep a wide range from one task."""
+    starts = ranged.selectExpr("id", "first", f"explode(sequence(first div {cell}, (first + n - 1) div {cell})) AS cell")
+    names = rows.columns
+    starts = starts.select("cell", F.greatest("first", F.col("cell") * cell).alias("v"), F.lit(0).alias("kind"), F.struct("id", "first").alias("held"))
+    both = rows.withColumn("cell", F.expr(f"v div {cell}")).withColumn("kind", F.lit(1)).unionByName(starts, allowMissingColumns=True)
+    last = F.last("held", ignorenulls=True).over(Window.partitionBy("cell").orderBy("v", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("held", last).filter("kind = 1").select(*names, "held.*")
+
+
+def drawn(plan: DataFrame, seed: int = 0, shard_slots: int = 4096) -> DataFrame:
+    """place and id: the source that each place of the mix draws, with the sources' slots as weights."""
+    ranged = _ranged(plan, "n")
+    parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # One row is cut into runs of places before they are listed; the number of partitions is fixed, as rows are few until then.
+    runs = ranged.select("all").limit(1).selectExpr("all", f"explode(sequence(0L, (all - 1) div {shard_slots})) AS shard").repartition(parts, "shard")
+    places = runs.selectExpr("all", f"explode(sequence(shard * {shard_slots}, least(shard * {shard_slots} + {shard_slots - 1}, all - 1))) AS place")
+    places = places.selectExpr("place", f"cast(conv(substr(md5(concat('{seed}', ':draw:', place)), 1, 12), 16, 10) AS bigint) % all AS v")
+    return _located(places, ranged).select("place", "id")
+
+
+def shard_counts(draws: DataFrame, shard_slots: int = 4096) -> DataFrame:
+    """shard, id and count: how often each shard draws each source."""
+    return draws.groupBy(F.expr(f"place div {shard_slots}").alias("shard"), "id").agg(F.count(F.lit(1)).alias("count"))
+
+
+def slots(target: DataFrame, block: int = 512, seed: int = 0, shard_slots: int = 4096, most: int = 3, salt: int = 64) -> DataFrame:
+    """Rows (shard, place, source, epoch, block, take): the mix, a block at a time.
+
+    `take` is the number of words used from the block's start; it is the block's length but for the
+    last slot of a source, so each source's words come to its rounded target.
+    """
+    plan = settle(planned(target, block, seed, most), "plan")
+    draws = settle(drawn(plan, seed, shard_slots), "draws")
+    counts = shard_counts(draws, shard_slots)
+    head = F.coalesce(F.sum("count").over(Window.partitionBy("id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = counts.select("shard", "id", head.alias("head"))
+    within = F.row_number().over(Window.partitionBy("id", "shard").orderBy("place")) - 1
+    numbered = draws.withColumn("shard", F.expr(f"place div {shard_slots}")).withColumn("_i", within).join(heads, ["shard", "id"])
+    numbered = settle(numbered.select("place", "id", (F.col("head") + F.col("_i")).alias("slot")), "numbered")
+    sums = settle(plan.select("id", "n").join(counts.groupBy("id").agg(F.sum("count").alias("drawn")), "id", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0))), "drawn")
+    # Draws beyond a source's slots are numbered through all sources; the ranges of those drawn too seldom take them up.
+    over = _ranged(sums.withColumn("over", F.greatest(F.col("drawn") - F.col("n"), F.lit(0))), "over").select("id", F.col("first").alias("_first"))
+    under = _ranged(sums.withColumn("under", F.greatest(F.col("n") - F.col("drawn"), F.lit(0))), "under")
+    salted = lambda df: df.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    met = numbered.withColumn("_t", F.pmod("place", F.lit(salt)).cast("int"))
+    marked = met.join(salted(sums.join(over, "id", "left")), ["id", "_t"])
+    own = marked.filter("slot < n").select("place", "id", "slot")
+    moved = _located(marked.filter("slot >= n").selectExpr("place", "_first + slot - n AS v"), under)
+    moved = moved.join(sums.select("id", "drawn"), "id").selectExpr("place", "id", "drawn + v - first AS slot")
+    each = own.unionByName(moved).withColumn("_t", F.pmod("place", F.lit(salt)).cast("int")).join(salted(plan), ["id", "_t"])
     each = each.selectExpr("*", "slot div blocks AS epoch", "slot % blocks AS q")
     each = each.selectExpr("*", f"CASE WHEN q >= whole THEN whole ELSE {_permute('q', 'keys', 'whole')} END AS block")
-    each = each.selectExpr(
-        "*",
-        f"CASE WHEN epoch = full AND (q + 1) * {block} > part THEN part - q * {block} WHEN block = whole THEN rest ELSE {block} END AS take",
-        f"transform(sequence(1, {ROUNDS}), r -> named_struct('tag', concat('{seed}', ':all:', r), 'k',"
-        f" cast(conv(substr(md5(concat('{seed}', ':all:', r)), 1, 12), 16, 10) AS bigint) % all)) AS over",
-    )
-    each = each.selectExpr("source", "epoch", "block", "take", f"{_permute('first + slot', 'over', 'all')} AS place")
-    return each.selectExpr(f"place div {shard_slots} AS shard", "place", "source", "epoch", "block", "cast(take AS bigint) AS take")
+    take = f"CASE WHEN epoch = full AND (q + 1) * {block} > part THEN part - q * {block} WHEN block = whole THEN rest ELSE {block} END"
+    return each.selectExpr(f"place div {shard_slots} AS shard", "place", "source", "epoch", "block", f"cast({take} AS bigint) AS take")
 
 
 def laid_out(sized: DataFrame, runs: int = RUNS) -> DataFrame:
     """sized with `first`, the number of words before the document in its source's stream."""
-    cut = sized.withColumn("run", F.coalesce(F.pmod(F.col("doc_id"), F.lit(runs)), F.lit(0)))
+    cut = sized.withColumn("run", F.coalesce(F.pmod(F.col("doc_id"), F.lit(runs)), F.pmod(F.col("size"), F.lit(runs))))
     heads = cut.groupBy("source", "run").agg(F.sum("size").alias("run_size"))
     head = F.coalesce(F.sum("run_size").over(Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     heads = heads.select(F.col("source").alias("_s"), F.col("run").alias("_r"), head.alias("head"))
@@ -155,36 +200,40 @@ def mix_digest(docs: DataFrame, block: int = 512, seed: int = 0) -> DataFrame:
     )
 
 
-def mix_placed(docs: DataFrame, block: int = 512, seed: int = 0, shard_slots: int = 4096) -> DataFrame:
-    """The mix as rows of documents: one for each shard and pass over a document, with the words that the pass has in the shard, and
-    _shard and _place, the first place of these words.
+def mix_placed(docs: DataFrame, block: int = 512, seed: int = 0, shard_slots: int = 4096) -> tuple[DataFrame, str, str]:
+    """The mix as rows of documents: one for each shard and pass over a document, with the words that the pass has in the shard; and
+    the names of two more columns, the shard and the first place of these words.
 
     A pass that takes the whole document in one shard keeps its text; otherwise the taken words are joined by single
     spaces, in order. n_chars, where there is one, is the new text's length. Documents not drawn go.
     """
-    numbered = docs.withColumn("size", F.size(words(F.col("text"))).cast("long"))
-    if "size" in docs.columns:
-        raise ValueError("documents have a column named size already; rename it")
+    held, owned = [], list(docs.columns)
+
+    def name(x: str) -> str:
+        held.append(free(x, [*owned, *held]))
+        return held[-1]
+
+    size, d, s, z, n, m, uses_, e, mine_, words_, shard_, place_ = map(name, ("_size", "_d", "_s", "_z", "_n", "_m", "_uses", "_e", "_mine", "_words", "_shard", "_place"))
+    numbered = docs.withColumn(size, F.size(words(F.col("text"))).cast("long"))
     sized = settle(measure(docs), "sizes")
     laid = taken(laid_out(sized), slots(settle(targets(sized), "targets"), block, seed, shard_slots), block, ("shard", "place"))
     # Rows that agree in doc_id, source and size are told apart by their order among equals.
-    same = Window.partitionBy("doc_id", "source", "size")
-    laid = laid.filter("uses IS NOT NULL OR size > 0").withColumn("_n", F.row_number().over(same.orderBy("first")))
-    laid = laid.filter("uses IS NOT NULL").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_n", "uses")
-    numbered = numbered.withColumn("_m", F.row_number().over(same.orderBy(F.xxhash64("text"))))
-    on = numbered["doc_id"].eqNullSafe(laid["_d"]) & numbered["source"].eqNullSafe(laid["_s"]) & (numbered["size"] == laid["_z"]) & (numbered["_m"] == laid["_n"])
-    met = numbered.join(laid, on).withColumn("_e", F.explode(F.array_distinct(F.transform("uses", lambda u: F.struct(u["epoch"].alias("epoch"), u["shard"].alias("shard"))))))
-    mine = F.filter("uses", lambda u: (u["epoch"] == F.col("_e.epoch")) & (u["shard"] == F.col("_e.shard")))
-    met = met.withColumn("_mine", mine).withColumn("_words", F.aggregate("_mine", F.lit(0).cast("long"), lambda a, u: a + u["n"]))
-    part = F.transform(F.array(words(F.col("text"))), lambda w: F.array_join(F.flatten(F.transform("_mine", lambda u: F.slice(w, (u["at"] + 1).cast("int"), u["n"].cast("int")))), " "))[0]
-    met = met.withColumn("text", F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(part))
+    laid = laid.filter("uses IS NOT NULL OR size > 0").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("first")))
+    laid = laid.filter("uses IS NOT NULL").select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(z), F.col("_n").alias(n), F.col("uses").alias(uses_))
+    numbered = numbered.withColumn(m, F.row_number().over(Window.partitionBy("doc_id", "source", size).orderBy(F.xxhash64("text"))))
+    on = numbered["doc_id"].eqNullSafe(laid[d]) & numbered["source"].eqNullSafe(laid[s]) & (numbered[size] == laid[z]) & (numbered[m] == laid[n])
+    met = numbered.join(laid, on).withColumn(e, F.explode(F.array_distinct(F.transform(uses_, lambda u: F.struct(u["epoch"].alias("epoch"), u["shard"].alias("shard"))))))
+    mine = F.filter(uses_, lambda u: (u["epoch"] == F.col(f"{e}.epoch")) & (u["shard"] == F.col(f"{e}.shard")))
+    met = met.withColumn(mine_, mine).withColumn(words_, F.aggregate(mine_, F.lit(0).cast("long"), lambda a, u: a + u["n"]))
+    part = F.transform(F.array(words(F.col("text"))), lambda w: F.array_join(F.flatten(F.transform(mine_, lambda u: F.slice(w, (u["at"] + 1).cast("int"), u["n"].cast("int")))), " "))[0]
+    met = met.withColumn("text", F.when(F.col(words_) == F.col(size), F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
         met = met.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return met.select(*docs.columns, F.col("_e.shard").alias("_shard"), F.array_min(F.transform("_mine", lambda u: u["place"])).alias("_place"))
+    return met.select(*docs.columns, F.col(f"{e}.shard").alias(shard_), F.array_min(F.transform(mine_, lambda u: u["place"])).alias(place_)), shard_, place_
 
 
 def mix_documents(docs: DataFrame, block: int = 512, seed: int = 0, shard_slots: int = 4096) -> DataFrame:
     """The rows of mix_placed in the order of the shards and of the places in them, with the columns of docs."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = mix_placed(docs, block, seed, shard_slots).repartitionByRange(parts, "_shard", "_place")
-    return placed.sortWithinPartitions("_shard", "_place").select(*docs.columns)
+    placed, shard, place = mix_placed(docs, block, seed, shard_slots)
+    return placed.repartitionByRange(parts, shard, place).sortWithinPartitions(shard, place).select(*docs.columns)

@@ -108,8 +108,21 @@ p AS (
     source_size // 512 AS whole, (source_size + 511) // 512 AS blocks, source_size % 512 AS rest, concat('0', coalesce(concat(':s', source), ':n')) AS tag
   FROM t WHERE source_size > 0
 ),
-q AS (SELECT *, unnest(range(0, (passes * blocks + (part + 511) // 512)::BIGINT)) AS slot, {_keys('tag', 'whole')} AS keys FROM p),
-b AS (SELECT *, slot // blocks AS epoch, slot % blocks AS q FROM q),
+m AS (SELECT *, coalesce(sum(n) OVER (ORDER BY encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS low, sum(n) OVER ()::BIGINT AS every
+  FROM (SELECT *, (passes * blocks + (part + 511) // 512)::BIGINT AS n, {_keys('tag', 'whole')} AS keys FROM p) WHERE n > 0),
+v AS (SELECT place, ('0x' || md5(concat('0:draw:', place))[1:12])::BIGINT % every AS v FROM (SELECT unnest(range((SELECT max(every) FROM m))) AS place), (SELECT max(every) AS every FROM m)),
+g AS (SELECT place, low, row_number() OVER (PARTITION BY low ORDER BY place) - 1 AS i FROM v ASOF JOIN m ON v.v >= m.low),
+c AS (SELECT m.low, n, count(place) AS drawn FROM m LEFT JOIN g ON m.low = g.low GROUP BY ALL),
+x AS (
+  SELECT *, coalesce(sum(greatest(drawn - n, 0)) OVER b, 0)::BIGINT AS over_low, coalesce(sum(greatest(n - drawn, 0)) OVER b, 0)::BIGINT AS under_low FROM c
+  WINDOW b AS (ORDER BY low ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+y AS (
+  SELECT place, g.low, i AS slot FROM g JOIN x ON g.low = x.low WHERE i < n
+  UNION ALL
+  SELECT place, u.low, u.drawn + r - u.under_low FROM (SELECT place, over_low + i - n AS r FROM g JOIN x ON g.low = x.low WHERE i >= n) ASOF JOIN (SELECT * FROM x WHERE n > drawn) u ON r >= u.under_low
+),
+b AS (SELECT m.*, slot // blocks AS epoch, slot % blocks AS q FROM y JOIN m ON y.low = m.low),
 e AS (
   SELECT source, CASE WHEN q >= whole THEN whole ELSE {_permute('q', 'keys', 'whole')} END AS block,
     CASE WHEN epoch = passes AND (q + 1) * 512 > part THEN part - q * 512 WHEN q >= whole THEN rest ELSE 512 END AS take

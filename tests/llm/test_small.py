@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from crawlframe.llm import bpe, bwt_dedup, ctw, mixing, ngram_join, nn_descent, preference, quality_rules, toxicity, url_templates
 
@@ -87,23 +88,44 @@ def test_mixing(spark):
 
 def test_mixing_shards(spark):
     rows = [(i, " ".join(f"w{i}_{k}" for k in range(i * 37 % 90))) for i in range(40)]
-    df = docs(spark, rows)
+    df = docs(spark, rows).withColumn("size", F.lit(1)).withColumn("_shard", F.lit("x"))
     target = mixing.targets(mixing.measure(df))
-    drawn = Counter()
+    listed = Counter()
     for r in mixing.slots(target, 16, 0, 8).collect():
-        drawn[r.shard, r.source] += r.take
-    placed = mixing.mix_placed(df, 16, 0, 8).collect()
+        listed[r.shard, r.source] += r.take
+    frame, shard, place = mixing.mix_placed(df, 16, 0, 8)
+    placed = frame.collect()
     met = Counter()
     for r in placed:
-        met[r._shard, r.source] += len(r.text.split())
-    assert met == drawn and len({shard for shard, _ in met}) > 5
+        met[r[shard], r.source] += len(r.text.split())
+    assert met == listed and len({at for at, _ in met}) > 5
     got = [(r.doc_id, r.text) for r in mixing.mix_documents(df, 16, 0, 8).collect()]
     at = {}
     for r in placed:
-        at.setdefault((r.doc_id, r.text), set()).add(r._shard)
+        at.setdefault((r.doc_id, r.text), set()).add(r[shard])
     assert len(got) == len(placed) and all(min(at[a]) <= max(at[b]) for a, b in zip(got, got[1:]))
 
 
+def test_mixing_draws(spark):
+    """The shards' counts are those of a draw by hash, but for what is beyond a source's target; each slot of a source is used once."""
+    rows = [(i, "w " * (i * 37 % 300)) for i in range(300)]
+    target = mixing.targets(mixing.measure(docs(spark, rows)))
+    plan = mixing.planned(target, 16).collect()
+    n, draws = {r.id: r.n for r in plan}, mixing.drawn(mixing.planned(target, 16), 0, 64)
+    total = sum(n.values())
+    want, ends = Counter(), np.cumsum([n[i] for i in sorted(n)])
+    for place in range(total):
+        v = int(hashlib.md5(f"0:draw:{place}".encode()).hexdigest()[:12], 16) % total
+        want[place // 64, int(np.searchsorted(ends, v, side="right")) + 1] += 1
+    assert {(r.shard, r.id): r["count"] for r in mixing.shard_counts(draws, 64).collect()} == dict(want)
+    got = mixing.slots(target, 16, 0, 64).collect()
+    assert sorted(r.place for r in got) == list(range(total))
+    names = {r.id: r.source for r in plan}
+    assert Counter(r.source for r in got) == {names[i]: k for i, k in n.items()} and len({(r.source, r.epoch, r.block) for r in got}) == total
+    moved = sum(abs(a - b) for a, b in ((Counter((r.shard, r.source) for r in got)[k, names[i]], want[k, i]) for k, i in want))
+    assert moved < 0.1 * total
+
+
 def test_codec():
     P, tiktoken = pytest.importorskip("public_tokenizers"), pytest.importorskip("tiktoken")
     codec = bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
