@@ -3,15 +3,16 @@
 Encoding: texts are cut into pieces which the split pattern can't straddle, pieces into words by the
 pattern. Words not met before become rows (word, position, token), one for each byte; a recursive query
 joins neighbouring tokens with the merge table and contracts each word's leftmost pair of minimum
-rank until no pair is left. Decoding: (text, position, id) rows join the vocabulary, and an ordered
+rank until no pair is left. In words over LONG bytes a round contracts more than one pair: all those
+which the leftmost minimum would come to in any case, as no lower pair is in reach of a token's length. Decoding: (text, position, id) rows join the vocabulary, and an ordered
 aggregation joins the pieces.
 
 The merge table holds each pair of tokens whose concatenation is a token, with the latter's id as rank.
-A word that is a token as a whole is taken as such, as tiktoken does. Words over LONG bytes, for which
-the rows of all rounds would be too many, are merged with a heap, by the same rule.
+A word that is a token as a whole is taken as such, as tiktoken does. Queries are bounded by words and bytes; a
+single word beyond that has a query of its own, with memory in proportion.
 
 Edge cases: null and empty texts have no tokens and decode to nothing; a null id column stays null;
-repeated rows are encoded each; an empty table gives an empty result; other columns are ignored.
+repeated rows are encoded each; very long texts and words are encoded whole; an empty table gives an empty result; other columns are ignored.
 Decoding ids outside the vocabulary raises ValueError.
 """
 
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -29,9 +29,11 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONG = 256
-#: Words in one recursive query, ids in one decoding query, cached pieces, and characters handled at a time.
-WORDS, IDS, CACHED, CHARS = 40_000, 500_000, 1_200_000, 4_000_000
+LONG = 64
+#: Words and bytes in one recursive query, ids in one decoding query, bytes of cached pieces, and characters handled at a time.
+WORDS, BYTES, IDS, CACHED, CHARS = 40_000, 400_000, 500_000, 240_000_000, 4_000_000
+#: Megabytes that DuckDB may take, and bytes for each byte of a longer query.
+MEMORY, EACH = 250, 400
 
 MERGE = """
 WITH RECURSIVE step AS (
@@ -49,6 +51,33 @@ WITH RECURSIVE step AS (
 )
 SELECT wid, tok FROM step WHERE done ORDER BY wid, pos
 """
+# low, first: the least rank within reach, by pairs whose token has lower pairs with its neighbours (wild) first, and by place.
+# Of a run of pairs of one rank every second is contracted, if no pair in reach of the run so far is lower or wild.
+# A wild pair is contracted only as the leftmost least in reach.
+MERGE_LONG = """
+WITH RECURSIVE step AS (
+  SELECT wid, pos, tok, false AS done FROM start
+  UNION ALL
+  (WITH p AS (SELECT wid, pos, tok, lag(tok) OVER w AS prev, lead(tok) OVER w AS next, lead(tok, 2) OVER w AS after FROM step WHERE NOT done WINDOW w AS (PARTITION BY wid ORDER BY pos)),
+  r AS (
+    SELECT wid, pos, tok, rank, lower_left.t IS NOT NULL OR lower_right.t IS NOT NULL OR coalesce(twice, false) AS wild FROM p LEFT JOIN merges ON l = tok AND r = next
+    LEFT JOIN lower_left ON lower_left.t = rank AND lower_left.n = prev LEFT JOIN lower_right ON lower_right.t = rank AND lower_right.n = after
+  ),
+  s AS (
+    SELECT wid, pos, tok, rank, row_number() OVER w AS i, lag(rank) OVER w IS NOT DISTINCT FROM rank AS again,
+      min(rank::BIGINT * 2 + (NOT wild)::INT) OVER reach AS low, min(rank::BIGINT * 4294967296 + pos) OVER reach AS first
+    FROM r WINDOW w AS (PARTITION BY wid ORDER BY pos), reach AS (PARTITION BY wid ORDER BY pos ROWS BETWEEN {reach} PRECEDING AND {reach} FOLLOWING)
+  ),
+  t AS (
+    SELECT wid, pos, tok, rank, i, first, max(CASE WHEN NOT again THEN i END) OVER w AS head,
+      max(CASE WHEN low <> rank::BIGINT * 2 + 1 OR rank IS NULL THEN i END) OVER w AS off, bool_or(rank IS NOT NULL) OVER (PARTITION BY wid) AS more
+    FROM s WINDOW w AS (PARTITION BY wid ORDER BY pos ROWS UNBOUNDED PRECEDING)
+  ),
+  h AS (SELECT *, coalesce(coalesce(off < head, true) AND (i - head) % 2 = 0 OR first = rank::BIGINT * 4294967296 + pos, false) AS hit FROM t)
+  SELECT wid, pos, CASE WHEN hit THEN rank ELSE tok END, NOT more FROM (SELECT *, lag(hit, 1, false) OVER (PARTITION BY wid ORDER BY pos) AS gone FROM h) WHERE NOT gone)
+)
+SELECT wid, tok FROM step WHERE done ORDER BY wid, pos
+"""
 JOIN = "SELECT doc, count(*) AS n, string_agg(piece, '' ORDER BY pos) AS text FROM given JOIN vocabulary USING (id) GROUP BY doc ORDER BY doc"
 
 
@@ -63,14 +92,21 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
         self.pattern = regex.compile(pattern)
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY}MB", "temp_directory": ""})
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         merges, vocabulary = pa.table(dict(zip(("l", "r", "rank"), np.array(pairs, dtype=np.int32).reshape(-1, 3).T))), pa.table({"id": list(self.ranks.values()), "piece": [t.decode("latin-1") for t in self.ranks]})
         for name, table, columns in (("merges", merges, "*"), ("vocabulary", vocabulary, "id::INT AS id, piece")):
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT {columns} FROM given")
             self.db.unregister("given")
+        self.db.execute("ALTER TABLE merges ADD COLUMN twice BOOLEAN")
+        self.db.execute("UPDATE merges SET twice = true WHERE EXISTS (SELECT 1 FROM merges m WHERE m.l = merges.rank AND m.r = merges.rank AND m.rank < merges.rank)")
+        # Neighbours n of a token t with which it makes a pair of lower rank than its own.
+        self.db.execute("CREATE TABLE lower_left AS SELECT r AS t, l AS n FROM merges WHERE rank < r")
+        self.db.execute("CREATE TABLE lower_right AS SELECT l AS t, r AS n FROM merges WHERE rank < l")
+        self.tokens = [(len(t), frozenset(t)) for t in self.ranks if len(t) > 1]
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     # Where a space stands between two other characters, a match of the pattern begins.
     _odd = re.compile(r"\s | \s|^ | $")
@@ -83,33 +119,22 @@ class Codec:
         first, *rest = text.split(" ")
         return [first, *(" " + x for x in rest)] if first else []
 
-    def _heap(self, word: bytes) -> list[int]:
-        n, tokens = len(word), [bytes([b]) for b in word]
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        pair = lambda i: (self.ranks.get(tokens[i] + tokens[after[i]]) if after[i] < n else None)
-        heap = [(r, i) for i in range(n) if (r := pair(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if not alive[i] or pair(i) != r:
-                continue
-            j = after[i]
-            tokens[i] += tokens[j]
-            alive[j], after[i] = False, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for k in (i, before[i]):
-                if k >= 0 and (r := pair(k)) is not None:
-                    heapq.heappush(heap, (r, k))
-        return [self.ranks[tokens[i]] for i in range(n) if alive[i]]
-
     def _merge(self, words: list[bytes]) -> list[bytes]:
         """The ids of words, as bytes."""
         lengths = np.array([len(w) for w in words])
         wid = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         pos = (np.arange(len(wid)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
         self.db.register("start", pa.table({"wid": wid, "pos": pos, "tok": self.bytes[np.frombuffer(b"".join(words), dtype=np.uint8)]}))
-        out = self.db.sql(MERGE).to_arrow_table()
+        query = MERGE
+        if long := int(lengths.max()) > LONG:
+            # No token of the words' bytes is longer, so no chain of merges comes from farther away.
+            met = set().union(*map(set, words))
+            query = MERGE_LONG.replace("{reach}", str(max((n for n, own in self.tokens if own <= met), default=1)))
+        if long and len(wid) > BYTES:
+            self.db.execute(f"SET memory_limit = '{MEMORY + len(wid) * EACH // 1_000_000}MB'")
+        out = self.db.sql(query).to_arrow_table()
+        if long and len(wid) > BYTES:
+            self.db.execute(f"SET memory_limit = '{MEMORY}MB'")
         self.db.unregister("start")
         ids, ends = out.column("tok").to_numpy().astype("<u4"), np.cumsum(np.bincount(out.column("wid").to_numpy(), minlength=len(words)))
         data, at = ids.tobytes(), (ends * 4).tolist()
@@ -123,22 +148,26 @@ class Codec:
         for w, b in fresh.items():
             if (r := self.ranks.get(b)) is not None:
                 known[w] = np.array([r], dtype="<u4").tobytes()
-            elif len(b) > LONG:
-                known[w] = np.array(self._heap(b), dtype="<u4").tobytes()
             else:
                 todo.append((w, b))
-        for i in range(0, len(todo), WORDS):
-            part = todo[i : i + WORDS]
-            known |= zip((w for w, _ in part), self._merge([b for _, b in part]))
+        for some in ([x for x in todo if len(x[1]) <= LONG], [x for x in todo if len(x[1]) > LONG]):
+            first = size = 0
+            for i, (_, b) in enumerate(some):
+                size += len(b)
+                if size + (len(some[i + 1][1]) if i + 1 < len(some) else BYTES) > BYTES or i + 1 - first == WORDS:
+                    part = some[first : i + 1]
+                    known |= zip((w for w, _ in part), self._merge([b for _, b in part]))
+                    first, size = i + 1, 0
         self.cache |= known
         for p, ws in split.items():
             if p not in self.cache:
-                self.cache[p] = b"".join(map(self.cache.__getitem__, ws))
+                known[p] = self.cache[p] = b"".join(map(self.cache.__getitem__, ws))
+        self.held += sum(map(len, known)) + sum(map(len, known.values())) + 180 * len(known)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        if len(self.cache) > CACHED:
-            self.cache = {}
+        if self.held > CACHED:
+            self.cache, self.held = {}, 0
         cut = [self.pieces(t) if t else [] for t in texts]
         fresh = set().union(*cut) - self.cache.keys()
         if fresh:

@@ -134,6 +134,10 @@ def test_codec():
     coded = codec.encode(texts)
     assert [np.frombuffer(c, "<u4").tolist() for c in coded] == [own.encode_ordinary(t) for t in texts]
     assert codec.decode(coded) == [t.encode() for t in texts]
+    random = np.random.default_rng(2)
+    letters = lambda n, of="abcdefghijklmnopqrstuvwxyz": "".join(random.choice(list(of), n))
+    long = [letters(20_000), letters(5000, "ab"), "ab" * 4000, "=" * 3001, "é漢" * 500 + letters(99, "éa"), " ".join(letters(240) for _ in range(300)), "the" * 3000, letters(900, "theand"), " " * 5000, letters(65), letters(64)]
+    assert [np.frombuffer(c, "<u4").tolist() for c in codec.encode(long)] == [own.encode_ordinary(t) for t in long]
     with pytest.raises(ValueError):
         codec.decode([np.array([60000], dtype="<u4").tobytes()])
 
