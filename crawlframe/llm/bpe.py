@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 LONG = 64
 #: Words and bytes in one recursive query, ids in one decoding query, bytes of cached pieces, and characters handled at a time.
-WORDS, BYTES, IDS, CACHED, CHARS = 40_000, 400_000, 500_000, 240_000_000, 4_000_000
+WORDS, BYTES, IDS, CACHED, CHARS = 40_000, 400_000, 300_000, 150_000_000, 1_000_000
 #: Megabytes that DuckDB may take, and bytes for each byte of a longer query.
 MEMORY, EACH = 250, 400
 
@@ -104,7 +104,10 @@ class Codec:
         # Neighbours n of a token t with which it makes a pair of lower rank than its own.
         self.db.execute("CREATE TABLE lower_left AS SELECT r AS t, l AS n FROM merges WHERE rank < r")
         self.db.execute("CREATE TABLE lower_right AS SELECT l AS t, r AS n FROM merges WHERE rank < l")
-        self.tokens = [(len(t), frozenset(t)) for t in self.ranks if len(t) > 1]
+        # Which bytes each token has, as 256 bits.
+        self.sizes, self.bits = np.array([len(t) for t in self.ranks]), np.zeros((len(self.ranks), 256), dtype=bool)
+        self.bits[np.repeat(np.arange(len(self.ranks)), self.sizes), np.frombuffer(b"".join(self.ranks), dtype=np.uint8)] = True
+        self.bits = np.packbits(self.bits, axis=1)
         self.cache: dict[str, bytes] = {}
         self.held = 0
 
@@ -128,8 +131,8 @@ class Codec:
         query = MERGE
         if long := int(lengths.max()) > LONG:
             # No token of the words' bytes is longer, so no chain of merges comes from farther away.
-            met = set().union(*map(set, words))
-            query = MERGE_LONG.replace("{reach}", str(max((n for n, own in self.tokens if own <= met), default=1)))
+            met = np.packbits(np.bincount(np.frombuffer(b"".join(words), dtype=np.uint8), minlength=256) > 0)
+            query = MERGE_LONG.replace("{reach}", str(int(self.sizes[~(self.bits & ~met).any(axis=1)].max())))
         if long and len(wid) > BYTES:
             self.db.execute(f"SET memory_limit = '{MEMORY + len(wid) * EACH // 1_000_000}MB'")
         out = self.db.sql(query).to_arrow_table()
