@@ -1,20 +1,24 @@
 """URL filters: explicit rules first, then a tree of path templates learnt for each host.
 
-Paths are cut into segments, in which runs of digits become `*`. Level by level, a node's children that
-few of its urls have become one wildcard `*`; of the others, those whose labels do not differ from their
-labelled siblings' (two-proportion z-test) are merged into one branch `{*}`. Every path thus falls under
-one template. A template is rejected if the share of its allowed labels, smoothed by a beta prior of mean
+Paths are cut into segments, in which runs of digits become `*`. Level by level, a node's children with
+fewer than LEAST_COUNT urls become one wildcard `*`; of the others, whatever their share, those whose labels do not
+differ from their labelled siblings' (two-proportion z-test) are merged into one branch `{*}`, and the rest stay
+apart. Every path thus falls under one template. Levels go on to the last segment; below a node with fewer than LEAST_COUNT urls
+all segments are wildcards, so that a few deep paths take no rounds of their own.
+A template is rejected if the share of its allowed labels, smoothed by a beta prior of mean
 `prior` and `strength` labels' weight, is below `least`; templates without labels keep the prior.
 
 The labels are the verdicts of the rules on the urls that a rule fits.
 
 Edge cases: a null url, and one without `://`, has an empty host and path, and is judged by its (empty)
-template like any other; segments beyond the eighth are one segment; repeated rows count each; a null
-page_id is kept; an empty table gives an empty result; other columns are ignored.
+template like any other; very long urls are read whole, to any depth; children with equal counts are treated alike, so ties
+need no order; repeated rows count each; a null page_id is kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,14 +26,11 @@ from .common import settle
 
 #: (rule, verdict): a host, and a path from the first slash on.
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
-LEVELS = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: SQL that Spark and DuckDB share. A child stays apart if it has LEAST_COUNT urls and LEAST_SHARE of its node's.
-LEAST_COUNT, LEAST_SHARE, LEAST_LABELS, Z = 5, 0.05, 5, 1.96
+LEAST_COUNT, LEAST_LABELS, Z = 5, 5, 1.96
 PRIOR, STRENGTH, LEAST = 0.7, 4, 0.5
-COMMON = f"c.n >= {LEAST_COUNT} AND c.n >= {LEAST_SHARE} * p.n"
-#: The child's labels against its siblings'.
+#: SQL that Spark and DuckDB share: the child's labels against its siblings'.
 SIMILAR = (
     f"c.good + c.bad >= {LEAST_LABELS} AND p.good + p.bad - c.good - c.bad >= {LEAST_LABELS} AND"
     f" abs(c.good / cast(c.good + c.bad AS double) - (p.good - c.good) / cast(p.good + p.bad - c.good - c.bad AS double))"
@@ -54,28 +55,32 @@ def parsed(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     out = pages.select("page_id", F.coalesce(rest, F.lit("")).alias("rest")).selectExpr(
         "page_id", f"translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host", "regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path"
     )
-    out = out.selectExpr("*", f"{rule_case('0', rules)} AS rule", f"{rule_case('1', rules)} AS ruled", "filter(split(regexp_replace(path, '[0-9]+', '*'), '/'), x -> x <> '') AS parts")
-    return out.selectExpr(
-        "page_id", "host", "path", "rule", "ruled",
-        f"CASE WHEN size(parts) > {LEVELS} THEN concat(slice(parts, 1, {LEVELS - 1}), array(array_join(slice(parts, {LEVELS}, size(parts)), '/'))) ELSE parts END AS segments",
-    )
+    out = out.selectExpr("*", f"{rule_case('0', rules)} AS rule", f"{rule_case('1', rules)} AS ruled", "filter(split(regexp_replace(path, '[0-9]+', '*'), '/'), x -> x <> '') AS segments")
+    return out.select("page_id", "host", "path", "rule", "ruled", "segments")
 
 
-def templates(urls: DataFrame) -> DataFrame:
+def templates(urls: DataFrame, salt: int = 16) -> DataFrame:
     """For each (host, shape) of parsed urls: its template and the template's labels (good, bad) and purity. shape: the segments, joined."""
     known = urls.selectExpr("host", "segments", "array_join(segments, '/') AS shape", "cast(ruled = 'allow' AS bigint) AS good", "cast(ruled = 'block' AS bigint) AS bad")
+    sums = [F.sum(c).alias(c) for c in ("n", "good", "bad")]
     tree = settle(known.groupBy("host", "shape", "segments").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).withColumn("template", F.lit("")), "shapes")
-    deepest = tree.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(1, deepest + 1):
-        here = tree.filter(F.size("segments") >= level).withColumn("seg", F.element_at("segments", level))
-        children = here.groupBy("host", "template", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "good", "bad")])
-        nodes = children.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "good", "bad")])
+    level, done, open_ = 0, [tree.filter("size(segments) = 0")], tree.filter("size(segments) > 0")
+    while open_.limit(1).count():
+        level += 1
+        here = open_.withColumn("seg", F.element_at("segments", level))
+        children = here.groupBy("host", "template", "seg").agg(*sums).withColumn("_t", F.pmod(F.xxhash64("seg"), F.lit(salt)).cast("int"))
+        # A hot host's children meet their node in `salt` tasks.
+        nodes = children.groupBy("host", "template").agg(*sums).withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
         c, p = children.alias("c"), nodes.alias("p")
-        # Few children of a node stay apart (their shares bound them); all others need no row here.
-        kept = c.join(p, ["host", "template"]).filter(COMMON).selectExpr("host", "template", "seg", f"coalesce({SIMILAR}, false) AS merged")
-        met = tree.withColumn("seg", F.try_element_at("segments", F.lit(level))).join(kept, ["host", "template", "seg"], "left")
-        step = F.when(F.col("seg").isNull(), "").when(F.col("merged"), "/{*}").when(~F.col("merged"), F.concat(F.lit("/"), "seg")).otherwise("/*")
-        tree = settle(met.withColumn("template", F.concat("template", step)).select(*tree.columns), "tree")
+        step = f"CASE WHEN c.n < {LEAST_COUNT} THEN '/*' WHEN coalesce({SIMILAR}, false) THEN '/{{*}}' ELSE concat('/', seg) END AS step"
+        steps = c.join(p, ["host", "template", "_t"]).selectExpr("host", "template", "seg", step, f"p.n < {LEAST_COUNT} AS few")
+        met = here.join(steps, ["host", "template", "seg"])
+        path = F.when(F.col("few"), F.expr(f"repeat('/*', size(segments) - {level - 1})")).otherwise(F.col("step"))
+        met = met.withColumn("template", F.concat("template", path)).withColumn("done", F.col("few") | (F.size("segments") == level))
+        met = settle(met.select(*tree.columns, "done"), "tree")
+        done.append(met.filter("done").drop("done"))
+        open_ = met.filter("NOT done").drop("done")
+    tree = reduce(DataFrame.unionByName, done)
     purity = tree.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     purity = purity.withColumn("purity", F.expr(f"(good + cast({PRIOR * STRENGTH} AS double)) / (good + bad + {STRENGTH})"))
     return tree.select("host", "shape", "template").join(purity, ["host", "template"])
@@ -93,28 +98,27 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, salt: int = 16
 
 def oracle() -> str:
     """The same in DuckDB's SQL, for op1's table."""
-    steps = ""
-    for k in range(1, LEVELS + 1):
-        steps += f"""
-c{k} AS (SELECT host, template, segments[{k}] AS seg, sum(n) AS n, sum(good) AS good, sum(bad) AS bad FROM t{k - 1} WHERE len(segments) >= {k} GROUP BY ALL),
-p{k} AS (SELECT host, template, sum(n) AS n, sum(good) AS good, sum(bad) AS bad FROM c{k} GROUP BY ALL),
-k{k} AS (SELECT c.host, c.template, seg, coalesce(CASE WHEN c.good + c.bad > 0 AND p.good + p.bad > c.good + c.bad THEN {SIMILAR} END, false) AS merged FROM c{k} c JOIN p{k} p ON c.host = p.host AND c.template = p.template WHERE {COMMON}),
-t{k} AS (
-  SELECT t.* REPLACE (concat(t.template, CASE WHEN len(segments) < {k} THEN '' WHEN merged THEN '/{{*}}' WHEN NOT merged THEN '/' || segments[{k}] ELSE '/*' END) AS template)
-  FROM t{k - 1} t LEFT JOIN k{k} k ON t.host = k.host AND t.template = k.template AND segments[{k}] = seg
-),"""
+    duck = lambda sql: sql.replace("startswith", "starts_with").replace("endswith", "ends_with")
+    similar = SIMILAR.replace("c.good", "cg").replace("c.bad", "cb").replace("p.good", "pg").replace("p.bad", "pb")
     return rf"""
-WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, coalesce(rest, '') AS rest FROM r)),
 u AS (
-  SELECT *, {rule_case('0').replace('startswith', 'starts_with').replace('endswith', 'ends_with')} AS rule, {rule_case('1').replace('startswith', 'starts_with').replace('endswith', 'ends_with')} AS ruled,
-    list_filter(string_split(regexp_replace(path, '[0-9]+', '*', 'g'), '/'), lambda x: x <> '') AS parts
+  SELECT *, {duck(rule_case('0'))} AS rule, {duck(rule_case('1'))} AS ruled, list_filter(string_split(regexp_replace(path, '[0-9]+', '*', 'g'), '/'), lambda x: x <> '') AS segments
   FROM h
 ),
-s AS (SELECT *, array_to_string(segments, '/') AS shape FROM (
-  SELECT *, CASE WHEN len(parts) > {LEVELS} THEN list_append(parts[1:{LEVELS - 1}], array_to_string(parts[{LEVELS}:], '/')) ELSE parts END AS segments FROM u)),
-t0 AS (SELECT host, shape, segments, count(*) AS n, count(*) FILTER (WHERE ruled = 'allow') AS good, count(*) FILTER (WHERE ruled = 'block') AS bad, '' AS template FROM s GROUP BY ALL),{steps}
-q AS (SELECT host, template, (sum(good) + cast({PRIOR * STRENGTH} AS double)) / (sum(good) + sum(bad) + {STRENGTH}) AS purity FROM t{LEVELS} GROUP BY ALL)
+s AS (SELECT *, array_to_string(segments, '/') AS shape FROM u),
+t AS (
+  SELECT host, shape, segments, count(*) AS n, count(*) FILTER (WHERE ruled = 'allow') AS good, count(*) FILTER (WHERE ruled = 'block') AS bad, '' AS template, 0 AS k FROM s GROUP BY host, shape, segments
+  UNION ALL
+  SELECT host, shape, segments, n, good, bad, concat(template, CASE WHEN cn < {LEAST_COUNT} THEN '/*' WHEN cg + cb > 0 AND pg + pb > cg + cb AND {similar} THEN '/{{*}}' ELSE '/' || segments[k + 1] END), k + 1
+  FROM (
+    SELECT *, sum(n) OVER c AS cn, sum(good) OVER c AS cg, sum(bad) OVER c AS cb, sum(good) OVER p AS pg, sum(bad) OVER p AS pb FROM t WHERE len(segments) > k
+    WINDOW c AS (PARTITION BY host, template, segments[k + 1]), p AS (PARTITION BY host, template)
+  )
+),
+f AS (SELECT * FROM t WHERE k = len(segments)),
+q AS (SELECT host, template, (sum(good) + cast({PRIOR * STRENGTH} AS double)) / (sum(good) + sum(bad) + {STRENGTH}) AS purity FROM f GROUP BY ALL)
 SELECT page_id, s.host, path, rule, coalesce(ruled, CASE WHEN purity < {LEAST} THEN 'block' ELSE 'allow' END) AS verdict, q.template, purity
-FROM s JOIN t{LEVELS} t ON s.host = t.host AND s.shape = t.shape JOIN q ON t.host = q.host AND t.template = q.template
+FROM s JOIN f ON s.host = f.host AND s.shape = f.shape JOIN q ON f.host = q.host AND f.template = q.template
 """
