@@ -13,7 +13,7 @@ estimates of all depths, each node weighing its own by the share it has in its w
    go to a shuffled join. The threshold between them follows the counts; nothing is left out.
 
 Edge cases: null and empty texts have the end only; a null doc_id counts as the empty text in the choice of
-training texts; repeated rows are trained on and scored each; without training texts N and V are 0; an empty
+training texts; repeated rows are trained on and scored each; very long texts are read whole, in one piece; without training texts N and V are 0; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -23,15 +23,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import pieces, settle
 from .hashing import lower, words
 
 DEPTH = 5
-CHARS = 4_000_000
+CHARS = 1_000_000
 END = np.int64(-6148914691236517205)
 #: Kinds of keys: tokens and strings.
 TOKEN, STRING = 0, 1
@@ -58,11 +57,8 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunks(batch, column: int):
-    lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
-    cuts = np.flatnonzero(np.diff(lengths // CHARS)) + 1 if len(lengths) else []
-    for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
-        if b > a:
-            yield a, b, [x or b"" for x in batch.column(column)[a:b].cast(pa.binary()).to_pylist()]
+    for a, b in pieces(batch.column(column), CHARS):
+        yield a, b, [x or b"" for x in batch.column(column)[a:b].cast(pa.binary()).to_pylist()]
 
 
 def _merge(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,9 +95,13 @@ def counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                     n = np.bincount(at, weights=None if doc is None else own[doc].astype(float), minlength=len(keys))
                     held[kind].append((keys, n))
                     size += len(keys)
-                if size > 3_000_000:
-                    yield from flush()
-                    size = 0
+                if size > 2_000_000:
+                    for parts in held.values():
+                        parts[:] = [_merge(parts)]
+                    size = sum(len(parts[0][0]) for parts in held.values())
+                    if size > 1_000_000:
+                        yield from flush()
+                        size = 0
         yield from flush()
 
     return docs.select("train", "text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -175,7 +175,7 @@ def _runs(batches, most: int):
         yield held
 
 
-def string_values(counted: DataFrame, depth: int = DEPTH, most: int = 100_000) -> DataFrame:
+def string_values(counted: DataFrame, depth: int = DEPTH, most: int = 50_000) -> DataFrame:
     """key, n and value (natural log of the byte's probability after its context) of each counted string."""
     parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = counted.select(F.expr("shiftright(key, 8) & 65535").alias("stem"), "key", "n").repartition(parts, "stem").sortWithinPartitions("stem")
@@ -233,7 +233,7 @@ def split(values: DataFrame, room: int) -> tuple[DataFrame, DataFrame]:
 
 
 def score(docs: DataFrame, depth: int = DEPTH, room: int = 1_500_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of documents."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte (the code length of a byte, the end included) of each row of documents."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), (F.crc32(name) % 7 != 2).alias("train"), F.col("text").cast("string"))
     counted = settle(counts(docs, depth), "counts")
@@ -275,18 +275,18 @@ def score(docs: DataFrame, depth: int = DEPTH, room: int = 1_500_000) -> DataFra
                 n = b - a
                 none = pa.nulls(n, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [ids, hashes, batch.column(3)[a:b], pa.array(amount[TOKEN]), pa.array(known[TOKEN]), pa.array(sums[TOKEN]), pa.array(sums[STRING]), pa.nulls(n, pa.int32()), none, none], COLUMNS
+                    [ids, hashes, batch.column(3)[a:b], pa.array(amount[TOKEN]), pa.array(amount[STRING]), pa.array(known[TOKEN]), pa.array(sums[TOKEN]), pa.array(sums[STRING]), pa.nulls(n, pa.int32()), none, none], COLUMNS
                 )
                 for kind, doc, key, times in late:
                     if len(doc):
                         take, m = pa.array(doc), len(doc)
                         empty = pa.nulls(m, pa.int64())
                         yield pa.RecordBatch.from_arrays(
-                            [ids.take(take), hashes.take(take), pa.nulls(m, pa.bool_()), empty, empty, pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array(np.full(m, kind, dtype=np.int32)), pa.array(key), pa.array(times)], COLUMNS
+                            [ids.take(take), hashes.take(take), pa.nulls(m, pa.bool_()), empty, empty, empty, pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array(np.full(m, kind, dtype=np.int32)), pa.array(key), pa.array(times)], COLUMNS
                         )
 
     met = docs.select("doc_id", "row", "text", "train").select("doc_id", "row", "text", "train").mapInArrow(
-        run, "doc_id long, row long, train boolean, n long, known long, tokens double, strings double, kind int, key long, times long"
+        run, "doc_id long, row long, train boolean, n long, bytes long, known long, tokens double, strings double, kind int, key long, times long"
     )
     # Rows of documents meet nothing; they are spread by their own hash, as a kind of its own.
     met = met.withColumn("_kind", F.coalesce("kind", F.lit(-1))).withColumn("_key", F.coalesce("key", "row"))
@@ -294,7 +294,7 @@ def score(docs: DataFrame, depth: int = DEPTH, room: int = 1_500_000) -> DataFra
     joined = met.join(seldom, ["_kind", "_key"], "left")
     worth = lambda k, extra: F.when(F.col("kind") == k, F.col("times") * F.coalesce(extra, F.lit(0.0)))
     total = joined.groupBy("doc_id", "row").agg(
-        F.count("train").alias("copies"), F.max("train").alias("train"), F.max("n").alias("n"),
+        F.count("train").alias("copies"), F.max("train").alias("train"), F.max("n").alias("n"), F.max("bytes").alias("bytes"),
         F.sum(F.coalesce("known", F.when((F.col("kind") == TOKEN) & F.col("_n").isNotNull(), F.col("times")), F.lit(0))).alias("known"),
         F.sum(F.coalesce("tokens", worth(TOKEN, F.col("value")), F.lit(0.0))).alias("tokens"),
         F.sum(F.coalesce("strings", worth(STRING, F.col("value")), F.lit(0.0))).alias("strings"),
@@ -305,9 +305,10 @@ def score(docs: DataFrame, depth: int = DEPTH, room: int = 1_500_000) -> DataFra
         (F.col("known") / F.col("copies") + (1 if ends else 0)).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("tokens") / F.col("copies") + math.log10(ends + 1) - n_tokens * math.log10(n_all + distinct + 1)).alias("base_score"),
         (F.col("strings") / F.col("copies") / math.log(10)).alias("score"),
+        (-F.col("strings") / F.col("copies") / math.log(2) / F.col("bytes")).alias("bits_per_byte"),
     )
     # Repeated rows were summed together; they are listed again.
     return out.withColumn("_copy", F.explode(F.expr("sequence(1L, copies)"))).drop("copies", "_copy")
 
 
-COLUMNS = ["doc_id", "row", "train", "n", "known", "tokens", "strings", "kind", "key", "times"]
+COLUMNS = ["doc_id", "row", "train", "n", "bytes", "known", "tokens", "strings", "kind", "key", "times"]
