@@ -8,12 +8,14 @@
    costs a row for each task.
 3. Each connected group goes to one task, or where it is larger than `room` shingles, to tasks for pairs of
    its blocks. There an inverted index takes every class as a query: of its lists, the longest are set
-   aside, the others are merged by counting, and classes that reach the threshold less the number of lists
-   set aside are looked up in the long lists by binary search.
+   aside, the others are merged (their sorted members are merged stably, or counted where they are more than
+   the classes), and classes that reach the threshold less the number of lists set aside are looked up in the
+   long lists by binary search.
 
 Edge cases: null and empty texts have no shingles and link with nothing; fewer words than `size` make one
 shingle; repeated rows are documents of their own, linked with each other; a null doc_id is never a
-component's name unless all its documents have none; an empty table gives an empty result; other columns are ignored.
+component's name unless all its documents have none; very long texts are one set of all their shingles; ties (equal sets) are one
+class, named by their least doc_id; an empty table gives an empty result; other columns are ignored, and kept by `keep_first`.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import free, settle
 from .graph import bloom, components, in_bloom
 from .hashing import U, mix, words
 
@@ -217,14 +219,20 @@ def divide_skip(sets: list[np.ndarray], queries: list[np.ndarray] | None = None,
         short, far = by[: len(by) - long], by[len(by) - long :]
         span = length[short]
         flat = np.repeat(start[short] - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
-        count = np.bincount(cells[flat] % len(sets), minlength=len(sets))
-        near = (count >= max(1, need - long)) & (10 * sizes >= 9 * n) & (9 * sizes <= 10 * n)
+        met = cells[flat] % len(sets)
+        if len(met) < len(sets):
+            met.sort(kind="stable")  # merges the runs
+            first = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]]))
+            ids, count = met[first], np.diff(np.append(first, len(met)))
+        else:
+            count = np.bincount(met, minlength=len(sets))
+            ids = np.arange(len(sets))
+        near = (count >= max(1, need - long)) & (10 * sizes[ids] >= 9 * n) & (9 * sizes[ids] <= 10 * n)
         if own:
-            near[: q + 1] = False
-        found = np.flatnonzero(near)
+            near &= ids > q
+        found, overlap = ids[near], count[near]
         if not len(found):
             continue
-        overlap = count[found]
         if long:
             wanted = far[:, None] * len(sets) + found[None, :]
             place = np.minimum(np.searchsorted(cells, wanted), len(cells) - 1)
@@ -342,17 +350,19 @@ def keep_first(docs: DataFrame, size: int = 5, room: int = 2_000_000) -> DataFra
 
     A null doc_id goes where its component has others. Documents without shingles all stay.
     """
-    if {"_id", "_hash", "_at"} & set(docs.columns):
-        raise ValueError("documents have a column named _id, _hash or _at already; rename it")
+    held: list[str] = []
+    for name in ("_id", "_hash", "_at", "_n"):
+        held.append(free(name, [*docs.columns, *held]))
+    id_, hash_, at, n = held
     found = settle(_similar(docs, size, room), "similar").filter("n_shingles > 0")
-    goes = found.filter("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).distinct()
-    keyed = docs.withColumn("_at", F.xxhash64("text"))
-    kept = keyed.join(goes, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_hash")), "left_anti")
+    goes = found.filter("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias(id_), F.col("hash").alias(hash_)).distinct()
+    keyed = docs.withColumn(at, F.xxhash64("text"))
+    on = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(at) == F.col(hash_))
+    kept = keyed.join(goes, on, "left_anti")
     again = found.filter("doc_id <=> component_id").groupBy("doc_id", "hash").count().filter("count > 1")
     if again.limit(1).count():
         # Only a table with repeated rows needs them numbered.
-        again = again.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
-        on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_hash"))
-        single = kept.join(again, on, "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_at").orderBy("_at"))).filter("_n = 1").drop("_n")
+        again = again.select(F.col("doc_id").alias(id_), F.col("hash").alias(hash_))
+        single = kept.join(again, on, "left_semi").withColumn(n, F.row_number().over(Window.partitionBy("doc_id", at).orderBy(at))).filter(F.col(n) == 1).drop(n)
         kept = kept.join(again, on, "left_anti").unionByName(single)
-    return kept.drop("_at")
+    return kept.drop(at)
