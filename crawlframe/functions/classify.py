@@ -36,6 +36,16 @@ def classify_browser(kind: Column) -> Column:
     return F.when(kind.isin("navigation", "timeout", "disconnected", "launch", "io"), "retryable").when(kind.isNotNull(), "non_retryable")
 
 
+def classify_cause(kind: Column) -> Column:
+    """Error class of a library error by its kind: io is tried again, and so is storage that was rate limited; bad input, a bad request and other storage errors aren't."""
+    return F.when(kind.isin("io", "storage_rate_limited", "storage_io"), "retryable").when(kind.isin("json", "request_build", "url", "storage"), "non_retryable").when(kind.isNotNull(), "critical")
+
+
+def chained(chain: Column, field: str) -> Column:
+    """The first value of a field (http_status, retry_after) along an error's chain of causes, an array of structs."""
+    return F.get(F.filter(F.transform(chain, lambda e: e[field]), lambda v: v.isNotNull()), F.lit(0))
+
+
 def error_property(error: Column, name: str) -> Column:
     at = ("retryable", "rotates_session", "ignores_max_retries", "critical", "counts_against_retries").index(name)
     return F.coalesce(error.isin(*[c for c, flags in ERROR_CLASSES.items() if flags[at]]), F.lit(False))

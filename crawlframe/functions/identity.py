@@ -45,6 +45,15 @@ def request_id(keys: pd.Series) -> pd.Series:
     return pd.Series([f"{a:016x}{b:016x}" for a, b in zip(first.tolist(), fnv1a(data, first).tolist())])
 
 
+@F.pandas_udf(T.StringType())
+def splitmix64(seeds: pd.Series) -> pd.Series:
+    """The first number that the splitmix64 generator gives for a seed, as 16 hex digits: seeds are explicit, so that runs agree."""
+    x = seeds.to_numpy(dtype=np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return pd.Series([f"{v:016x}" for v in (x ^ (x >> np.uint64(31))).tolist()])
+
+
 def canonical_form(form: Column) -> Column:
     """Body of a form, an array of (key, value): pairs in their order, not escaped."""
     return F.array_join(F.transform(form, lambda p: F.concat(p["key"], F.lit("="), p["value"])), "&")

@@ -24,7 +24,7 @@ def retry_after(value: Column, now: Column) -> Column:
     digits = F.when(F.length(F.ltrim(v, F.lit("0"))) > 9, F.lit(RETRY_CAP)).otherwise(F.least(v.try_cast("long"), F.lit(RETRY_CAP)))
     date = F.try_to_timestamp(F.regexp_extract(v, r"^(?:[A-Za-z]{3}, )?(\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
     wait = F.least(F.greatest(F.unix_timestamp(date) - F.unix_timestamp(now), F.lit(0)), F.lit(RETRY_CAP))
-    return F.when(v.rlike("^[0-9]+$"), digits).otherwise(wait).cast("long")
+    return F.when(v.rlike("^[0-9]+$"), digits).when(date.isNotNull(), wait).cast("long")
 
 
 def media_type(content_type: Column) -> Column:
@@ -52,6 +52,22 @@ def lossy_text(body: Column) -> Column:
     return F.make_valid_utf8(body.cast("string"))
 
 
+def json_value(text: Column, path: str = "$", kind: str = "string") -> Column:
+    """A value of a JSON text; null if the text isn't JSON or holds none of that kind."""
+    return F.try_variant_get(F.try_parse_json(text), path, kind)
+
+
+def rfc3339(at: Column) -> Column:
+    """A time as text in UTC with microseconds."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def from_rfc3339(text: Column) -> Column:
+    """The time that a text with `T` and an offset or `Z` says; null for anything else."""
+    good = text.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$")
+    return F.when(good, F.try_to_timestamp(F.upper(F.regexp_replace(text, " ", "T"))))
+
+
 def leading_integer(s: Column) -> Column:
     return F.regexp_extract(F.btrim(s), r"^(\d+)", 1).try_cast("int")
 

@@ -18,6 +18,28 @@ def fetch(requests: DataFrame, responses: DataFrame) -> DataFrame:
     return met.withColumn("error_class", error).drop("_q", "_k")
 
 
+def rendered(requests: DataFrame, responses: DataFrame, pages: DataFrame) -> DataFrame:
+    """requests (rendered) with their response: that of a browser (pages, the same columns as responses) where they are to be rendered, else the plain one."""
+    plain = fetch(requests.filter("NOT rendered"), responses)
+    return plain.unionByName(fetch(requests.filter("rendered"), pages))
+
+
+def observe(fetched: DataFrame, session: Column | None = None, proxy: Column | None = None, body: str = "html") -> DataFrame:
+    """What an attempt is known by: request, status, loaded url, session, proxy, bytes and error class."""
+    none = F.lit(None).cast("string")
+    return fetched.select(
+        "unique_key", "status", F.col("url").alias("loaded_url"), (none if session is None else session).alias("session_id"), (none if proxy is None else proxy).alias("proxy"),
+        F.coalesce(F.octet_length(body), F.lit(0)).cast("long").alias("response_bytes"), "error_class",
+    )
+
+
+def hooked(pages: DataFrame, hooks: list, error: str = "error_class") -> DataFrame:
+    """pages through navigation hooks in order. A hook is a function of the rows to a column: an error class, or null to go on; the first error of a row ends its hooks."""
+    for hook in hooks:
+        pages = pages.withColumn(error, F.when(F.col(error).isNull(), hook(pages)).otherwise(F.col(error)))
+    return pages
+
+
 def coalesced(requests: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Requests to send, one for each key, and how many share each: identical reads are fetched once. Others are sent each."""
     shared = F.col("method").isin("GET", "HEAD") & F.col("body").isNull()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.classify import error_property, retry_allowed
+from ..functions.text import from_rfc3339, json_value, rfc3339
 
 #: Header profiles: user agent, then headers that are filled in where a request has none.
 PROFILES = [
@@ -104,13 +105,49 @@ def proxy_bucket(kind: Column, seq: Column, buckets: dict[str, list[str]], defau
     return out
 
 
-def next_state(attempts: DataFrame, max_retries: int = 3, max_rotations: int = 10) -> DataFrame:
+def request_view(requests: DataFrame) -> DataFrame:
+    """What goes over the wire: method, url without fragment, headers and body."""
+    return requests.select("unique_key", F.coalesce("method", F.lit("GET")).alias("method"), urls.without_fragment(F.col("url")).alias("url"), "headers", "body")
+
+
+def user_data(data: Column, key: str, kind: str = "string") -> Column:
+    """A value of a request's user data (JSON text) as a type; null without it or of another type."""
+    return json_value(data, f'$["{key}"]', kind)
+
+
+def with_user_data(data: Column, key: str, value: Column) -> Column:
+    """User data with a key set; other keys keep their values. Data that is no object gives null."""
+    held = F.from_json(F.coalesce(data, F.lit("{}")), "map<string,variant>")
+    own = F.create_map(F.lit(key), value.cast("variant"))
+    return F.to_json(F.map_concat(F.map_filter(held, lambda k, _: k != key), own))
+
+
+def restored(saved: DataFrame, now: Column) -> DataFrame:
+    """Sessions from saved JSON (a column `value`): id, error_score, usage_count, expires_at. Entries that can't be read are skipped, as are expired ones."""
+    read = saved.select(
+        json_value(F.col("value"), "$.id").alias("id"), json_value(F.col("value"), "$.error_score", "double").alias("error_score"),
+        json_value(F.col("value"), "$.usage_count", "long").alias("usage_count"), from_rfc3339(json_value(F.col("value"), "$.expires_at")).alias("expires_at"),
+    )
+    return read.dropna().filter(F.col("expires_at") > now)
+
+
+def saved(sessions: DataFrame) -> DataFrame:
+    """Sessions as rows of a key-value store: key and value, JSON with RFC 3339 times."""
+    return sessions.select(F.concat(F.lit("SESSION_"), "id").alias("key"), F.to_json(F.struct("id", "error_score", "usage_count", rfc3339(F.col("expires_at")).alias("expires_at"))).alias("value"))
+
+
+def next_state(attempts: DataFrame, max_retries: int | Column = 3, max_rotations: int | Column = 10, strategy=None) -> DataFrame:
     """attempts (error_class, no_retry, retry_count, session_rotation_count) with next and the counters after the attempt.
 
+    Limits may be columns (a request's own). strategy: a function of the rows to a column, true or false where it decides itself whether
+    to try again, null where these rules hold.
+
     next: done, retry, failed or aborted. A failed attempt that rotates the session counts as rotation, others as retry.
     """
     error = F.col("error_class")
     again = retry_allowed(error, F.col("no_retry"), F.col("retry_count"), F.col("session_rotation_count"), max_retries, max_rotations)
+    if strategy is not None:
+        again = F.coalesce(strategy(attempts), again)
     next_ = F.when(error.isNull(), "done").when(error_property(error, "critical"), "aborted").when(again, "retry").otherwise("failed")
     rotates = error_property(error, "rotates_session")
     out = attempts.withColumn("next", next_)

@@ -34,6 +34,7 @@ class EnqueueSpec:
     max_depth: int | None = None
     budget: int | None = None
     transform: Column | None = None  # false rejects the candidate
+    rewrite: Column | None = None  # struct (keep, url, unique_key): the candidate as a user's code changed it; a null key is made anew
     forefront: bool = False
 
 
@@ -65,12 +66,13 @@ def decide(links: DataFrame, spec: EnqueueSpec) -> DataFrame:
         outside = outside & F.col("apply_strategy")
     reason = F.when(url.isNull(), "invalid_url").when(outside, "strategy_excluded")
     if spec.exclude:
-        reason = reason.when(exclusion(url, spec.exclude).isNotNull(), exclusion(url, spec.exclude))
+        links, excluded = links.withColumn("_excluded", exclusion(url, spec.exclude)), F.col("_excluded")
+        reason = reason.when(excluded.isNotNull(), excluded)
     if spec.include:
         reason = reason.when(~included(url, spec.include), include_reason(spec.include))
     out = links.withColumn("reason", reason)
     label = override(url, spec.include, "label", F.lit(spec.label).cast("string"))
-    return out.withColumn("label", F.when(F.col("reason").isNull(), label))
+    return out.withColumn("label", F.when(F.col("reason").isNull(), label)).drop("_excluded")
 
 
 def enqueue(links: DataFrame, spec: EnqueueSpec, key: str = "page_id", known: DataFrame | None = None) -> DataFrame:
@@ -90,7 +92,12 @@ def enqueue(links: DataFrame, spec: EnqueueSpec, key: str = "page_id", known: Da
         late = F.lit("max_depth_exceeded")
     elif spec.transform is not None:
         late = F.when(~spec.transform, "transform_rejected")
-    passed = passed.withColumn("reason", late)
+    elif spec.rewrite is not None:
+        # The key follows the changed url unless the user's code set a key of its own.
+        passed = passed.withColumn("_r", spec.rewrite).withColumn("url", F.coalesce("_r.url", "url"))
+        passed = passed.withColumn("unique_key", F.coalesce("_r.unique_key", get_key(F.col("url"))))
+        late = F.when(~F.coalesce("_r.keep", F.lit(True)), "transform_rejected")
+    passed = passed.withColumn("reason", late).drop("_r")
     rank = F.row_number().over(Window.partitionBy("unique_key", F.col("reason").isNull()).orderBy(key, "position"))
     passed = passed.withColumn("reason", F.when(F.col("reason").isNull() & (rank > 1), "duplicate_unique_key").otherwise(F.col("reason")))
     if known is not None:

@@ -63,6 +63,18 @@ def give_back(leased: DataFrame, abandoned: Column, rotating: Column, seq: Colum
     })
 
 
+def abort(queue: DataFrame, seq: Column) -> DataFrame:
+    """queue (status) with every lease abandoned: leased requests are pending again, at the head and as they were."""
+    held = F.col("status") == "leased"
+    return queue.withColumn("order_no", F.when(held, -seq).otherwise(F.col("order_no"))).withColumn("status", F.when(held, "pending").otherwise(F.col("status")))
+
+
+def with_overrides(attempts: DataFrame, overrides: DataFrame, columns: list[str], key: str = "unique_key") -> DataFrame:
+    """attempts with what an earlier attempt of the same request left for the next (a user agent, a proxy), where it left something."""
+    kept = overrides.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
+    return attempts.join(kept, key, "left").withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop(*[f"_{c}" for c in columns])
+
+
 def finish(leases: DataFrame, outputs: DataFrame) -> DataFrame:
     """Outputs of attempts with their leases' counters; outputs without lease have found = false."""
     kept = leases.select("lease_id", "unique_key", "retry_count", "session_rotation_count", F.lit(True).alias("_f"))

@@ -95,6 +95,18 @@ def hit_accounting(hits: DataFrame, site: DataFrame) -> DataFrame:
     return each.agg(total(good, F.lit(1)).alias("unique_pages"), total(good, F.col("n") - 1).alias("duplicates"), total(~F.col("own"), F.col("n")).alias("off_host"), total(F.col("own") & ~F.col("_known"), F.col("n")).alias("unknown"))
 
 
+def terminal_rows(attempts: DataFrame, key: str = "request_id", order: str = "attempt") -> DataFrame:
+    """One row for each request that ended: its first terminal attempt. Attempts that were retried give none."""
+    first = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return attempts.filter(F.col("outcome").isin(*TERMINAL)).withColumn("_n", first).filter("_n = 1").drop("_n")
+
+
+def storage_samples(calls: DataFrame, signal: str = "storage") -> DataFrame:
+    """Load samples (signal, at, overloaded) of storage calls (at, error_class): a call that succeeds is healthy, one that met a rate limit is overload; other errors say nothing."""
+    said = calls.filter("error_class IS NULL OR error_class = 'rate_limited'")
+    return said.select(F.lit(signal).alias("signal"), "at", F.col("error_class").isNotNull().alias("overloaded"))
+
+
 def same_hits(a: DataFrame, b: DataFrame) -> bool:
     """Whether two sets of hits are equal, repeats counted."""
     return not a.exceptAll(b).limit(1).count() and not b.exceptAll(a).limit(1).count()
@@ -117,7 +129,9 @@ def server_bound(trials: DataFrame, engine: str, value: str, baseline: str, shar
 def load_windows(samples: DataFrame, seconds: int = 300, most: int = 4096) -> DataFrame:
     """samples (signal, at, overloaded) of each signal's last `seconds`, at most `most` of them."""
     w = Window.partitionBy("signal")
-    last = samples.withColumn("_t", F.max("at").over(w)).filter(F.col("at").cast("timestamp").cast("double") >= F.col("_t").cast("timestamp").cast("double") - seconds).drop("_t")
+    # The latest time of a signal is one number each: it is joined, not windowed over the signal's whole log.
+    latest = samples.groupBy("signal").agg(F.max("at").alias("_t"))
+    last = samples.join(latest, "signal").filter(F.col("at").cast("timestamp").cast("double") >= F.col("_t").cast("timestamp").cast("double") - seconds).drop("_t")
     return last.withColumn("_n", F.row_number().over(w.orderBy(F.desc("at")))).filter(F.col("_n") <= most).drop("_n")
 
 

@@ -17,12 +17,14 @@ from ..operators.links import EnqueueSpec
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where none is named (tests), one of our own."""
+    """The cluster's checkpoint folder; where none is named (local mode, in tests), one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not held.isDefined():
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="crawlframe-"))
@@ -69,6 +71,9 @@ class CrawlSpec:
     max_requests: int | None = None
     max_waves: int = 1000
     handler: Callable[[DataFrame], DataFrame] | None = None  # pages to records
+    failed: Callable[[DataFrame], DataFrame] | None = None  # requests that failed for good, to rows
+    skipped: Callable[[DataFrame], DataFrame] | None = None  # links that were skipped, with reason, to rows
+    stop: Callable[[int, int], bool] | None = None  # given the wave and its requests, whether to stop after it (a drain: the wave is whole)
 
 
 @dataclass
@@ -78,6 +83,9 @@ class Crawl:
     requests: DataFrame
     verdicts: DataFrame
     records: DataFrame | None
+    failures: DataFrame | None = None
+    skips: DataFrame | None = None
+    pending: DataFrame | None = None  # admitted but not fetched, after a stop
 
 
 def requests_of(seeds: DataFrame) -> DataFrame:
@@ -107,7 +115,11 @@ def run(seeds: DataFrame, responses: DataFrame, spec: CrawlSpec = CrawlSpec()) -
         options = replace(spec.enqueue, depth=wave + 1, max_depth=spec.max_depth, budget=left)
         result = judged.add(link_ops.enqueue(found, options, key="page", known=seen.all().select("unique_key")), wave)
         frontier = result.filter("verdict = 'added'").select("url", "unique_key", "depth")
+        if spec.stop and spec.stop(wave, n):
+            break
     all_requests = seen.all()
     done = all_requests.withColumn("outcome", F.when(F.col("error_class").isNull(), "succeeded").otherwise("failed"))
     records = spec.handler(done.filter("outcome = 'succeeded'")) if spec.handler else None
-    return Crawl(done.drop("html"), judged.all(), records)
+    failures = spec.failed(done.filter("outcome = 'failed'")) if spec.failed else None
+    skips = spec.skipped(judged.all().filter("verdict = 'skipped'")) if spec.skipped else None
+    return Crawl(done.drop("html"), judged.all(), records, failures, skips, frontier.join(all_requests.select("unique_key"), "unique_key", "left_anti"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +46,15 @@ def links_resolve(spark, d):
 
 @query
 def links_filtered(spark, d):
-    found = links.resolve(links.extract(table(spark, d, "pages")))
+    """The pages' links, and for each page the next page's url, a mail address and the page's own url under its other scheme as links."""
+    pages = table(spark, d, "pages")
+    found = links.resolve(links.extract(pages)).select("page_id", "position", "src_url", "url")
+    after = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next"))
+    other = pages.join(after, "page_id", "left").select(
+        "page_id", F.col("url").alias("src_url"),
+        F.posexplode(F.array("next", F.lit("mailto:a@b.example"), F.when(F.startswith("url", F.lit("https:")), F.concat(F.lit("http:"), F.substr("url", F.lit(7)))).otherwise(F.concat(F.lit("https:"), F.substr("url", F.lit(6)))))).alias("position", "url"),
+    )
+    found = found.unionByName(other.withColumn("position", F.col("position") - 3))
     url, parent = F.col("url"), F.col("src_url")
     allowed = [urls.strategy_allows(s, url, parent).alias(s.replace("-", "_")) for s in ("all", "same-hostname", "same-domain", "same-origin")]
     return found.select("page_id", "position", *allowed)
@@ -150,7 +159,11 @@ def url_parts(spark, d):
 
 @query
 def url_normalise(spark, d):
-    return table(spark, d, "pages").select("page_id", urls.normalise(F.col("url")).alias("url"))
+    """Urls in capitals, with ports and dots in their paths, normalised."""
+    u = F.col("url")
+    port = F.when(F.col("page_id") % 3 == 0, ":8080").when(F.col("page_id") % 3 == 1, F.when(urls.scheme(u) == "https", ":443").otherwise(":80")).otherwise("")
+    odd = F.concat(F.upper(urls.scheme(u)), F.lit("://"), F.upper(urls.authority(u)), port, F.lit("/x/./y z/.."), F.regexp_extract(u, r"^[a-z]+://[^/?#]*(.*)$", 1))
+    return table(spark, d, "pages").select("page_id", urls.normalise(odd).alias("url"))
 
 
 # Queue
@@ -352,8 +365,8 @@ def leading_integers(spark, d):
 
 
 def _attempts(spark, d):
-    outcome = F.when(F.col("event_type") == "error", "retried").when(F.col("event_type") == "purchase", "failed").when(F.col("event_type") == "view", "succeeded")
-    return table(spark, d, "events").filter("event_type IN ('error', 'purchase', 'view')").select("event_id", "ts", "user_id", F.col("user_id").alias("request_id"), F.floor(F.col("value") * 1000).cast("long").alias("duration"), outcome.alias("outcome"), _status().alias("status"))
+    outcome = F.when(F.col("event_type") == "error", "retried").when(F.col("event_type") == "purchase", "failed").otherwise("succeeded")
+    return table(spark, d, "events").select("event_id", "ts", "user_id", F.col("user_id").alias("request_id"), F.floor(F.col("value") * 1000).cast("long").alias("duration"), outcome.alias("outcome"), _status().alias("status"))
 
 
 @query
@@ -395,7 +408,7 @@ def _samples(spark, d):
 
 @query
 def load_window(spark, d):
-    return stats.load_windows(_samples(spark, d), 86400, 40).groupBy("signal").agg(F.count(F.lit(1)).alias("n"), F.count_if("overloaded").alias("overloaded"))
+    return stats.load_windows(_samples(spark, d), 86400).groupBy("signal").agg(F.count(F.lit(1)).alias("n"), F.count_if("overloaded").alias("overloaded"))
 
 
 @query
@@ -415,7 +428,8 @@ def bench_server_bound(spark, d):
 
 @query
 def digest_commutative(spark, d):
-    return stats.digest(table(spark, d, "events"), F.col("event_id"))
+    out = stats.digest(table(spark, d, "events"), F.col("event_id"))
+    return out.select("n", F.col("total").cast("string").alias("total"), "mixed", F.col("digest").cast("string").alias("digest"))
 
 
 @query
@@ -545,12 +559,12 @@ def cookie_match(spark, d):
 
 @query
 def bfs_tree(spark, d):
-    return crawl.reach(sites.tree(spark, 8), spark.range(1).select(F.col("id").alias("node"))).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
+    return crawl.reach(sites.tree(spark), spark.range(1).select(F.col("id").alias("node"))).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def bfs_mesh(spark, d):
-    return crawl.reach(sites.mesh(spark, 512).filter("dst < 512"), spark.range(1).select(F.col("id").alias("node"))).select("node", "depth")
+    return crawl.reach(sites.mesh(spark), spark.range(1).select(F.col("id").alias("node"))).select("node", "depth")
 
 
 @query
@@ -562,11 +576,11 @@ def bfs_depth_limit(spark, d):
 
 @query
 def crawl_books(spark, d):
-    """A crawl of the generated shop, from its first listing to its records."""
+    """A crawl of the generated shop, from its listings to its records."""
     show_workers(spark)
-    pages = sites.books(spark, 4, 10).select(F.concat(F.lit("https://shop.example"), "url").alias("url"), F.lit(200).alias("status"), "html")
+    pages = sites.books(spark).select(F.concat(F.lit("https://shop.example"), "url").alias("url"), F.lit(200).alias("status"), "html")
     spec = crawl.CrawlSpec(handler=lambda p: html.records(p.select("url", "html"), "body", {"title": "h1", "price": "p.price_color", "stock": ".instock"}).filter("title IS NOT NULL").drop("position"))
-    return crawl.run(spark.createDataFrame([("https://shop.example/list/0",)], "url string"), pages, spec).records
+    return crawl.run(spark.range(100).select(F.format_string("https://shop.example/list/%d", "id").alias("url")), pages, spec).records
 
 
 # Replays
@@ -648,6 +662,254 @@ def _event_stream(spark, d):
 
 @query
 def stream_stats(spark, d):
-    import uuid
-
     return live.replay(live.running_statistics(_event_stream(spark, d).withColumn("duration", F.floor(F.col("duration") * 1000).cast("long"))), "s" + uuid.uuid4().hex)
+
+
+# Requests, errors and state
+
+
+@query
+def enqueue_rewrite(spark, d):
+    """A user's code cuts commas and dots off urls, sets a key of its own for some, and rejects those with an even number of characters."""
+    cut = F.regexp_replace("url", "[.,]+$", "")
+    change = F.struct((F.length("url") % 2 == 1).alias("keep"), cut.alias("url"), F.when(cut.rlike("/[A-Z]"), F.concat(F.lit("own:"), cut)).alias("unique_key"))
+    out = links.enqueue(_candidates(spark, d), EnqueueSpec(rewrite=change))
+    return out.select("page_id", "position", "url", "unique_key", "verdict", "reason")
+
+
+@query
+def enqueue_skipped_links(spark, d):
+    """What a callback on skipped links sees: the rows themselves."""
+    out = links.enqueue(_candidates(spark, d), SPEC)
+    return out.filter("verdict = 'skipped'").groupBy("page_id", "reason").agg(F.count(F.lit(1)).alias("n"), F.min("position").cast("long").alias("first"))
+
+
+@query
+def links_explicit(spark, d):
+    """Explicit candidates go before a page's links and are held to no strategy."""
+    pages = table(spark, d, "pages")
+    own = pages.select("page_id", F.col("url").alias("src_url"), F.lit(0).alias("position"), F.concat(F.lit("https://elsewhere.example/"), F.pmod("page_id", F.lit(50))).alias("raw"), F.col("url").alias("base"))
+    found = links.resolve(links.with_explicit(links.extract(pages), own.select("page_id", "src_url", "position", "raw", "base")))
+    return links.counts(links.enqueue(found, EnqueueSpec()))
+
+
+@query
+def browser_anchors(spark, d):
+    """Anchors that a browser reports are whole urls already."""
+    live = table(spark, d, "pages").select("page_id", F.col("url").alias("src_url"), F.explode(F.array("url", F.lit("https://other.example/a"))).alias("url"))
+    live = live.withColumn("position", F.when(F.col("url") == F.col("src_url"), 0).otherwise(1))
+    return links.enqueue(live, EnqueueSpec(strategy="all")).select("page_id", "position", "url", "verdict", "reason")
+
+
+@query
+def user_data(spark, d):
+    e = table(spark, d, "events")
+    changed = http.with_user_data(F.col("props"), "label", F.col("event_type"))
+    return e.select("event_id", http.user_data(F.col("props"), "k", "long").alias("k"), http.user_data(F.col("props"), "missing").alias("missing"), http.user_data(changed, "label").alias("label"), http.user_data(changed, "k", "long").alias("k_kept"))
+
+
+@query
+def http_view(spark, d):
+    none = F.lit(None).cast("string")
+    r = table(spark, d, "pages").select(F.col("page_id").alias("unique_key"), F.when(F.col("page_id") % 2 == 0, "POST").alias("method"), "url", F.array(F.struct(F.lit("a").alias("name"), F.col("page_id").cast("string").alias("value"))).alias("headers"), none.alias("body"))
+    return http.request_view(r).select("unique_key", "method", "url", http.header(F.col("headers"), "A").alias("a"))
+
+
+@query
+def request_headers(spark, d):
+    """Headers appended and replaced: the first value of a name is read."""
+    own = F.array(F.struct(F.lit("Accept").alias("name"), F.col("event_type").alias("value")))
+    more = http.set_header(own, "accept", F.lit("second"))
+    other = http.set_header(own, "ACCEPT", F.col("user_id").cast("string"), replace=True)
+    return table(spark, d, "events").select("event_id", http.header(more, "accept").alias("appended"), F.size(more).alias("n"), http.header(other, "accept").alias("replaced"), F.size(other).alias("n_replaced"))
+
+
+@query
+def response_body(spark, d):
+    """Bodies as text, bad bytes replaced, and as JSON."""
+    body = F.concat(F.when(F.col("event_id") % 2 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit(""))), F.col("props").cast("binary"))
+    t = text.lossy_text(body)
+    return table(spark, d, "events").select("event_id", F.length(t).alias("n"), text.json_value(t, "$.k", "long").alias("k"))
+
+
+@query
+def attempt_observed(spark, d):
+    p = table(spark, d, "pages").select(F.col("page_id").alias("unique_key"), "url", _status("page_id").alias("status"), "html").withColumn("error_class", F.nullif(classify.classify_status(F.col("status")), F.lit("success")))
+    return fetch.observe(p, proxy=http.rotate(F.col("unique_key"), ["http://a:1", "http://b:2"])).select("unique_key", "status", "proxy", "response_bytes", "error_class")
+
+
+@query
+def navigation_hooks(spark, d):
+    """Hooks in order, each a column over the rows; the first error ends a row's hooks."""
+    hooks = [
+        lambda df: F.when(F.col("page_id") % 4 == 0, "retryable"),
+        lambda df: F.when(F.col("page_id") % 3 == 0, "critical"),
+        lambda df: F.when(F.length("url") % 2 == 0, "session"),
+    ]
+    return fetch.hooked(table(spark, d, "pages").select("page_id", "url", F.lit(None).cast("string").alias("error_class")), hooks).select("page_id", "error_class")
+
+
+@query
+def rendered_fetch(spark, d):
+    """Promoted hosts' requests are answered by the table of rendered pages."""
+    p = table(spark, d, "pages").select("page_id", "url", F.length("html").alias("size"), (F.col("page_id") % 3 == 0).alias("rendered"))
+    plain, live = p.select("url", F.lit(200).alias("status"), "size"), p.filter("page_id % 2 = 0").select("url", F.lit(200).alias("status"), F.lit(-1).alias("size"))
+    return fetch.rendered(p.drop("size"), plain, live).select("page_id", "size", "error_class")
+
+
+@query
+def error_causes(spark, d):
+    kinds = ("io", "json", "request_build", "storage", "storage_rate_limited", "panic")
+    k = F.element_at(F.array(*map(F.lit, kinds)), (F.col("event_id") % len(kinds) + 1).cast("int"))
+    chain = F.array(F.struct(F.lit(None).cast("int").alias("http_status"), F.lit(None).cast("long").alias("retry_after")), F.struct(F.when(F.col("event_id") % 2 == 0, _status()).alias("http_status"), F.col("user_id").alias("retry_after")))
+    return table(spark, d, "events").select("event_id", classify.classify_cause(k).alias("class"), classify.chained(chain, "http_status").alias("status"), classify.chained(chain, "retry_after").alias("retry_after"))
+
+
+@query
+def browser_errors(spark, d):
+    kinds = ("navigation", "timeout", "disconnected", "script", "launch")
+    k = F.element_at(F.array(*map(F.lit, kinds)), (F.col("event_id") % len(kinds) + 1).cast("int"))
+    return table(spark, d, "events").groupBy(classify.classify_browser(k).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def retry_strategy(spark, d):
+    """A user's strategy decides some retries itself; requests bring limits of their own."""
+    error = F.nullif(classify.classify_status(_status()), F.lit("success"))
+    e = table(spark, d, "events").select("event_id", error.alias("error_class"), F.lit(False).alias("no_retry"), (F.col("user_id") % 5).cast("int").alias("retry_count"), F.lit(0).alias("session_rotation_count"), (F.col("event_id") % 4).cast("int").alias("most"), "event_type")
+    own = lambda df: F.when(F.col("event_type") == "purchase", False).when(F.col("event_type") == "signup", True)
+    return http.next_state(e, F.col("most"), strategy=own).select("event_id", "next", "retry_count")
+
+
+@query
+def carried_overrides(spark, d):
+    a = table(spark, d, "events").select("event_id", F.col("user_id").alias("unique_key"), F.lit("plain").alias("user_agent"))
+    o = table(spark, d, "events").filter("event_type = 'error'").groupBy(F.col("user_id").alias("unique_key")).agg(F.concat(F.lit("agent-"), F.max("event_id")).alias("user_agent")).filter("unique_key % 2 = 0")
+    return queue.with_overrides(a, o, ["user_agent"]).select("event_id", "user_agent")
+
+
+@query
+def lease_results(spark, d):
+    """Results meet their leases by slot; retry counters are the lease's, whatever the result says."""
+    leases = table(spark, d, "events").filter("event_id % 3 <> 0").select(F.col("event_id").alias("lease_id"), F.col("user_id").cast("string").alias("unique_key"), (F.col("user_id") % 4).cast("int").alias("retry_count"), F.lit(1).alias("session_rotation_count"))
+    results = table(spark, d, "events").select(F.col("event_id").alias("lease_id"), F.lit(99).alias("retry_count"), "event_type")
+    return queue.finish(leases, results).select("lease_id", "event_type", "unique_key", "retry_count", "found")
+
+
+@query
+def queue_abort(spark, d):
+    status = F.when(F.col("event_type") == "view", "pending").when(F.col("event_type") == "click", "leased").otherwise("handled")
+    q = table(spark, d, "events").select("event_id", F.col("event_id").alias("order_no"), status.alias("status"))
+    return queue.abort(q, F.col("event_id") + 1).select("event_id", "order_no", "status")
+
+
+@query
+def deferred_starts(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", (F.col("ts") + F.expr("make_dt_interval(0, 0, 0, user_id * 60)")).alias("ready_at"), F.col("event_id").alias("seq"))
+    return queue.ready_order(e).limit(200).select("event_id")
+
+
+@query
+def terminal_rows(spark, d):
+    """Exactly one row for each request that ended."""
+    a = _attempts(spark, d).withColumn("attempt", F.col("event_id"))
+    return stats.terminal_rows(a).select("request_id", "event_id", "outcome")
+
+
+@query
+def storage_load(spark, d):
+    """Storage calls as load samples, and the decision they lead to."""
+    calls = table(spark, d, "events").select("event_id", F.col("ts").alias("at"), F.when(F.col("event_type") == "error", "rate_limited").when(F.col("event_type") == "signup", "io").alias("error_class"))
+    return stats.load_decision(stats.storage_samples(calls))
+
+
+@query
+def sessions_restored(spark, d):
+    """Sessions saved and read again: broken and expired entries are left out."""
+    e = table(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("value").alias("error_score"), F.col("user_id").alias("usage_count"), F.col("ts").cast("timestamp").alias("expires_at"))
+    broken = http.saved(e).withColumn("value", F.when(F.endswith("key", F.lit("0")), F.substr("value", F.lit(5))).otherwise(F.col("value")))
+    return http.restored(broken, F.to_timestamp(F.lit("2024-01-10 00:00:00"))).select("id", "error_score", "usage_count")
+
+
+@query
+def state_persisted(spark, d):
+    """A state opened, changed, persisted and opened again."""
+    folder = f"{crawl.shared_dir(spark).rstrip('/')}/state-{uuid.uuid4().hex}"
+    state = store.Storage(spark, folder).state("finished long, failed long", (0, 0), "STATISTICS")
+    n, bad = table(spark, d, "events").agg(F.count(F.lit(1)), F.count_if(F.col("event_type") == "error")).first()
+    for _ in range(2):
+        state.update(lambda old: (old[0] + n, old[1] + bad))
+        state.persist()
+    return store.Storage(spark, folder).state("finished long, failed long", (0, 0), "STATISTICS").frame()
+
+
+@query
+def kv_json(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("key"), "lang", "n_chars")
+    return store.kv_typed(store.kv_json(rows, F.struct("lang", "n_chars")), "lang string, n_chars long")
+
+
+@query
+def kv_purge(spark, d):
+    key = F.when(F.col("doc_id") % 5 == 0, "INPUT.json").when(F.col("doc_id") % 5 == 1, "INPUT").otherwise(F.concat(F.lit("OUTPUT"), "doc_id"))
+    rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "default").otherwise("other").alias("store"), key.alias("key"))
+    return store.purge(rows).select("doc_id", "key")
+
+
+@query
+def file_names(spark, d):
+    kinds = ("application/json", "text/html; charset=utf-8", "image/png", "video/mp4")
+    rows = table(spark, d, "documents").select(F.concat(F.lit("k"), "doc_id").alias("key"), F.element_at(F.array(*map(F.lit, kinds)), (F.col("doc_id") % 4 + 1).cast("int")).alias("content_type"))
+    return store.file_names(rows).select("key", "file")
+
+
+@query
+def valid_names(spark, d):
+    names = ("plain", "a/b", "..", "", "a..b", "back\\slash", "dotted.name")
+    n = F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", text.valid_component(n).alias("valid"))
+
+
+@query
+def rfc3339_times(spark, d):
+    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    shown = e.withColumn("shown", text.rfc3339(F.col("ts")))
+    odd = F.when(F.col("event_id") % 3 == 0, F.regexp_replace("shown", "Z$", "+01:00")).when(F.col("event_id") % 3 == 1, F.regexp_replace("shown", "T", "x")).otherwise(F.col("shown"))
+    return shown.select("event_id", "shown", F.unix_micros(text.from_rfc3339(odd)).alias("micros"))
+
+
+@query
+def random_numbers(spark, d):
+    return table(spark, d, "events").select("event_id", identity.splitmix64(F.col("event_id")).alias("number"))
+
+
+@query
+def cookies_upserted(spark, d):
+    e = table(spark, d, "events")
+    row = lambda f: e.filter(f).select(F.concat(F.lit("c"), F.col("user_id") % 20).alias("name"), F.when(F.col("user_id") % 7 == 0, "").otherwise(F.concat(F.lit("h"), F.col("user_id") % 3, F.lit(".example"))).alias("domain"), F.lit("/").alias("path"), F.col("event_id").cast("string").alias("value"))
+    return http.upsert_cookies(row("event_type = 'view'"), row("event_type = 'click'"))
+
+
+@query
+def crawl_failures(spark, d):
+    """What a failure handler and a skip callback get: a crawl of the pages' sites in which some pages are broken."""
+    p = table(spark, d, "pages")
+    pages = p.select("url", F.when(F.col("page_id") % 5 == 0, 404).otherwise(200).alias("status"), "html")
+    spec = crawl.CrawlSpec(max_depth=0, failed=lambda rows: rows.select("url", "status", "error_class"))
+    return crawl.run(p.select("url"), pages, spec).failures
+
+
+@query
+def crawl_drained(spark, d):
+    """A crawl stopped after its first wave: what it admitted by then stays pending."""
+    pages = sites.books(spark, 4, 10).select(F.concat(F.lit("https://shop.example"), "url").alias("url"), F.lit(200).alias("status"), "html")
+    show_workers(spark)
+    start = spark.createDataFrame([("https://shop.example/list/0",)], "url string")
+    return crawl.run(start, pages, crawl.CrawlSpec(stop=lambda wave, n: wave == 0)).pending.select("url", "depth")
+
+
+@query
+def hits_equal(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_type")
+    same, other = stats.same_hits(e, e.orderBy("event_type")), stats.same_hits(e, e.filter("event_type <> 'error'"))
+    return spark.createDataFrame([(same, other)], "same boolean, other boolean")

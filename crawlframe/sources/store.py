@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import IO
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import request_id
 from ..functions.text import extension, valid_component
+from ..plans.crawl import Waves
 
 
 def append(items: DataFrame, path: str, dataset: str, order: list[str], start: int | None = None) -> None:
@@ -26,8 +34,11 @@ def append(items: DataFrame, path: str, dataset: str, order: list[str], start: i
 
 
 def numbered(items: DataFrame, order: list[str]) -> DataFrame:
-    """items with seq, from 1 on in `order`: ranges are numbered each, then moved by the rows of the ranges before."""
-    cut = items.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    """items with seq, from 1 on in `order`: ranges are numbered each, then moved by the rows of the ranges before.
+
+    The ranges are written once, so that a task run again after a loss finds the same ones.
+    """
+    cut = Waves(items.sparkSession, "numbered").add(items.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), 0)
     sizes = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
@@ -81,10 +92,29 @@ def csv_quote(text: Column) -> Column:
     return F.when(text.rlike("[,\"\r\n]"), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
+@contextmanager
+def atomic(path: str, **how) -> Iterator[IO]:
+    """A file that appears under its name only when it is whole: written beside it under a temporary name, then renamed."""
+    folder, name = os.path.split(path)
+    temporary = os.path.join(folder, f".{name}.{uuid.uuid4().hex}.tmp")
+    try:
+        with open(temporary, "w", **how) as f:
+            yield f
+        os.replace(temporary, path)
+    finally:
+        if os.path.exists(temporary):
+            os.remove(temporary)
+
+
+def is_temporary(name: Column) -> Column:
+    """Whether a file's name is one of `atomic`'s that a broken write left."""
+    return name.rlike(r"^\..*\.[0-9a-f]{32}\.tmp$")
+
+
 def export_csv(items: DataFrame, path: str) -> None:
     """One CSV file: rows end in CR LF but the last. Rows are streamed through the driver a partition at a time."""
     header, rows = csv_rows(items)
-    with open(path, "w", newline="", encoding="utf-8") as f:
+    with atomic(path, newline="", encoding="utf-8") as f:
         f.write(header)
         for r in rows.orderBy("seq").toLocalIterator():
             f.write("\r\n" + r.line)
@@ -92,7 +122,7 @@ def export_csv(items: DataFrame, path: str) -> None:
 
 def export_json(items: DataFrame, path: str) -> None:
     """One JSON array, an item a line."""
-    with open(path, "w", encoding="utf-8") as f:
+    with atomic(path, encoding="utf-8") as f:
         f.write("[")
         for i, r in enumerate(items.orderBy("seq").toLocalIterator()):
             f.write(("," if i else "") + "\n  " + r.item)
@@ -113,6 +143,94 @@ def kv_delete(store: DataFrame, gone: DataFrame) -> DataFrame:
     return store.join(gone.select("key").distinct(), "key", "left_anti")
 
 
+def kv_json(store: DataFrame, value: Column) -> DataFrame:
+    """store with a typed value as JSON text of media type application/json."""
+    return store.withColumn("value", F.to_json(value)).withColumn("content_type", F.lit("application/json"))
+
+
+def kv_typed(store: DataFrame, schema: str) -> DataFrame:
+    """key and the JSON value's fields; a value that doesn't parse fails the read."""
+    return store.select("key", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("_r")).select("key", "_r.*")
+
+
+def purge(store: DataFrame, default: str = "default", keep: str = "INPUT") -> DataFrame:
+    """What stays of key-value stores (store, key) when they are emptied: the default store's input, whatever its extension."""
+    return store.filter((F.col("store") == default) & (F.split_part("key", F.lit("."), F.lit(1)) == keep))
+
+
+def stream(items: DataFrame, offset: int = 0, limit: int | None = None, desc: bool = False) -> Iterator[str]:
+    """The items of a page one by one, a partition in memory at a time."""
+    return (r.item for r in page(items, offset, limit, desc)[0].select("item").toLocalIterator(prefetchPartitions=False))
+
+
+def read_bodies(spark: SparkSession, folder: str, chunk: int = 1 << 20) -> DataFrame:
+    """path, position and bytes of the files of a folder, cut into chunks, as a streamed body gives them."""
+    files = spark.read.format("binaryFile").load(folder).select("path", "content", "length")
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(chunk).cast("long")))
+    return files.withColumn("position", at).select("path", "position", F.substring("content", (F.col("position") + 1).cast("int"), F.lit(chunk)).alias("bytes"))
+
+
+class State:
+    """One typed row that outlives its session: opened from the shared folder, or with a default; set, changed and persisted.
+
+    Each version is a folder of its own, so that a write that breaks leaves the last whole one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, default: tuple):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.version = self._last()
+        self.value = default if self.version is None else tuple(spark.read.schema(schema).parquet(f"{self.path}/version={self.version}").first())
+
+    def _last(self) -> int | None:
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return None
+        whole = [int(s.getPath().getName().partition("=")[2]) for s in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        return max(whole, default=None)
+
+    def get(self) -> tuple:
+        return self.value
+
+    def set(self, value: tuple) -> None:
+        self.value = value
+
+    def update(self, change: Callable[[tuple], tuple]) -> tuple:
+        self.value = change(self.value)
+        return self.value
+
+    def persist(self) -> None:
+        version = 0 if self.version is None else self.version + 1
+        self.frame().coalesce(1).write.parquet(f"{self.path}/version={version}")
+        self.version = version
+
+    def frame(self) -> DataFrame:
+        return self.spark.createDataFrame([self.value], self.schema)
+
+
+class Storage:
+    """Datasets, key-value stores and states by name, as tables under one folder; `default` is the name without one."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def path(self, kind: str, name: str | None) -> str:
+        name = "default" if name is None else name
+        if not name or re.search(r"[/\\\x00]|\.\.", name):
+            raise ValueError(f"{name!r} can't be the name of a store")
+        return f"{self.root}/{kind}/{name}"
+
+    def push(self, items: DataFrame, order: list[str], name: str | None = None) -> None:
+        append(items, self.path("datasets", name), name or "default", order)
+
+    def dataset(self, name: str | None = None) -> DataFrame:
+        return self.spark.read.parquet(self.path("datasets", name))
+
+    def state(self, schema: str, default: tuple, name: str | None = None) -> State:
+        return State(self.spark, self.path("states", name), schema, default)
+
+
 def list_keys(store: DataFrame, after: str | None = None, limit: int = 1000) -> tuple[DataFrame, bool]:
     """key and size of the first `limit` keys after one, in order, and whether there are more."""
     rows = store if after is None else store.filter(F.col("key") > after)
