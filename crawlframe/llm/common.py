@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: The characters that separate words: space, tab, LF, VT, FF, CR.
 SPACES = " \t\n\x0b\x0c\r"
+#: Python workers give large blocks back to the system at once, so that an idle worker keeps little.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "4194304", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 SPACE_RE = r"[\x20\x09-\x0D]+"
 
 
@@ -49,6 +51,8 @@ def words(text: Column) -> Column:
 def show_workers(spark: SparkSession) -> None:
     """Let Python workers on this machine import this package wherever the driver was started; a cluster gets it by --py-files."""
     root, held = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    for name, value in WORKER_MEMORY.items():
+        held.setdefault(name, value)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # texts are long; a batch of the default size takes much memory
     if root not in held.get("PYTHONPATH", "").split(":"):
