@@ -301,7 +301,7 @@ def _similar(docs: DataFrame, size: int, room: int) -> DataFrame:
     held = settle(classes(docs, size), "classes")
     kinds = settle(held.filter("class IS NOT NULL").groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.first("node").alias("node")), "kinds")
     groups = components(_stars(_parts(docs, size)))
-    near = settle(kinds.join(groups, "node").select("class", "copies", "low", "n", "component"), "near")
+    near = settle(kinds.join(groups, "node").select("class", "node", "copies", "low", "n", "component"), "near")
     total = near.groupBy("component").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     placed = near.join(total, "component").withColumn("blocks", F.ceil(F.col("total") / F.lit(room)).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
@@ -311,21 +311,20 @@ def _similar(docs: DataFrame, size: int, room: int) -> DataFrame:
         F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("task"), F.expr("cast(block > other AS int)").alias("side"), F.expr("block = other").alias("alone"),
     )
     # One row of each class is read again: a Bloom filter of fixed size picks it out, and a few others.
-    key = lambda: F.xxhash64("low", "class")
-    filter_ = docs.sparkSession.sparkContext.broadcast(bloom(near.select(key().alias("key"))))
+    low = F.coalesce("low", F.lit(0))
+    key = F.col("node").bitwiseXOR(F.shiftleft(low, 20)).bitwiseXOR(low)
+    filter_ = docs.sparkSession.sparkContext.broadcast(bloom(near.select(key.alias("key"))))
 
     def run(batches):
         for keys, sets in _texts(batches, size):
-            big = [(k, class_of(s), s.tobytes()) for k, s in zip(keys.to_pylist(), sets) if len(s) >= 9]
+            big = [(k or 0, class_of(s), s) for k, s in zip(keys.to_pylist(), sets) if len(s) >= 9]
             if big:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*big), (pa.int64(), pa.binary(), pa.binary()))], ["doc_id", "class", "shingles"])
+                id_, node = np.array([k for k, *_ in big], dtype=np.int64), np.array([node_of(c) for _, c, _ in big], dtype=np.int64)
+                some = np.flatnonzero(in_bloom(filter_.value, node ^ (id_ << 20) ^ id_)).tolist()
+                if some:
+                    yield pa.RecordBatch.from_arrays([pa.array([big[i][1] for i in some], pa.binary()), pa.array([big[i][2].tobytes() for i in some], pa.binary())], ["class", "shingles"])
 
-    def pick(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(in_bloom(filter_.value, batch.column(0).to_numpy()))).select(["class", "shingles"])
-
-    again = docs.mapInArrow(run, "doc_id long, class binary, shingles binary").select(F.xxhash64("doc_id", "class").alias("key"), "class", "shingles")
-    sets = again.mapInArrow(pick, "class binary, shingles binary")
+    sets = docs.mapInArrow(run, "class binary, shingles binary")
     found = settle(_search(placed.hint("merge").join(sets, "class").select("task", "side", "alone", "class", "copies", "low", "shingles")), "found")
     name = found.groupBy("class").agg(F.min("low").alias("low"), F.count(F.lit(1)).alias("times"))
     # Groups searched in one task have their component already; those in several are joined by their tasks' stars.
