@@ -18,7 +18,8 @@
 Windows are compared by 64-bit hashes, in 3 of SYMBOL bytes each.
 
 Edge cases: texts are judged as UTF-8; null and empty texts have no bytes; texts shorter than the window keep
-everything; repeated rows are repeats of each other; an empty table gives an empty result; other columns are
+everything; repeated rows are repeats of each other; very long texts are read whole, in overlapping blocks; of places with equal least
+hashes the first is the anchor; an empty table gives an empty result; other columns are
 ignored, and kept by `remove_repeats`, where characters that were cut in two go.
 """
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -39,9 +41,31 @@ def settle(df: DataFrame, name: str = "part") -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for held in getattr(_open, "scratch", []):
+        held.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_open = threading.local()
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The folders that `settle` writes inside the block, by this thread; `drop` deletes them when nothing reads them any more."""
+    held: list[str] = []
+    _open.scratch = [*getattr(_open, "scratch", []), held]
+    try:
+        yield held
+    finally:
+        _open.scratch = [x for x in _open.scratch if x is not held]
+
+
+def drop(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null gives an empty array."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 from .common import settle
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node reachable) for each node of edges (a, b).
 
     Each round every node takes the least label among its neighbours' and then its label's label; each
-    round's labels are written to the shared folder. Loops and repeated edges do no harm; edges with a
+    round's labels are written to the shared folder. Labels only fall, so the rounds end, after about the logarithm of the longest path. Loops and repeated edges do no harm; edges with a
     null end are dropped.
     """
     edges = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
     both = settle(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = settle(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")), "labels")
-    for _ in range(most_rounds):
+    while True:
         met = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("low"))
         best = labels.join(met, labels["node"] == met["a"]).select("node", "label", F.least("label", "low").alias("next"))
         over = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
@@ -28,7 +28,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         labels = jumped.drop("moved")
         if not jumped.filter("moved").limit(1).count():
             return labels.select("node", F.col("label").alias("component"))
-    raise RuntimeError("components did not settle")
 
 
 def bloom(keys: DataFrame, bits: int = 1 << 25) -> np.ndarray:

@@ -13,7 +13,7 @@ per row). Slots then join the blocks by (source, block number).
 
 Edge cases: a null source is a source of its own and comes last; null or empty texts have
 size 0 and are taken 0 times; a source without words has target 0; repeated rows count as
-documents of their own; a document longer than a block is in several; an empty table gives an empty result;
+documents of their own, and of rows that agree in id and size their hash tells the order; a document longer than a block is in several; an empty table gives an empty result;
 other columns are ignored, and kept by `mix_documents`.
 """
 

@@ -15,7 +15,8 @@ Only vectors of one label and one dimension are compared, by cosine in double pr
 
 Edge cases: null labels, null, zero or empty vectors and those with null or non-finite components link with
 nothing; repeated rows are vectors of their own, linked with each other; a null vec_id is never a component's
-name unless all have none; an empty table gives an empty result; other columns are ignored.
+name unless all have none; very long vectors are compared whole; of equally near neighbours the one with the least number stays;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

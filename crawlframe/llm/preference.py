@@ -9,7 +9,7 @@ a zero-width space after their first two characters, so that no text can forge a
 
 Edge cases: turns are ordered by (turn, role, text), nulls first; null roles and texts render as empty; turns
 repeated in full are kept once; conversations without pair are left out, and both completions of equal
-conversations are empty; a null pair id pairs with nothing; an empty table gives an empty result; other columns are ignored.
+conversations are empty; a null pair id pairs with nothing; very long texts are rendered whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ host's failure rate is shrunk towards a beta prior fitted to all hosts by moment
 whose shrunk rate is above `most` loses its documents.
 
 Edge cases: null and empty texts have no words, so they fail; a null source is a host of its
-own; repeated rows count each; an empty table gives an empty result; other columns are ignored.
+own; repeated rows count each; very long texts are measured whole; equal rates are judged alike, so ties need no order;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
