@@ -44,12 +44,12 @@ def error_groups(failures: DataFrame, error: str = "error") -> DataFrame:
     return failures.groupBy(error_key(F.col(error)).alias("error_key")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def rates(events: DataFrame, key: str | None = None, seconds: int = 60, at: str = "ts") -> DataFrame:
+def rates(events: DataFrame, key: str, seconds: int = 60, at: str = "ts") -> DataFrame:
     """events (outcome, ts) with finished_per_minute and failed_per_minute over the last `seconds`, both ends included.
 
-    The window runs over one key's events; give a key (a crawl, a shard) so that no task holds them all.
+    The window runs over one key's events (a crawl's, a shard's), so that no task holds them all.
     """
-    frame = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))).orderBy(F.col(at).cast("timestamp").cast("double")).rangeBetween(-seconds, 0)
+    frame = Window.partitionBy(key).orderBy(F.col(at).cast("timestamp").cast("double")).rangeBetween(-seconds, 0)
     rate = lambda o: (F.count_if(F.col("outcome") == o).over(frame) * 60 / seconds)
     return events.withColumn("finished_per_minute", rate("succeeded")).withColumn("failed_per_minute", rate("failed"))
 
