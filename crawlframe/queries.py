@@ -13,7 +13,7 @@ from .functions.patterns import globs, regexes
 from .operators import fetch, http, links, queue, routing, sim, stats
 from .operators.links import EnqueueSpec
 from .plans import crawl
-from .session import show_workers
+from .session import show_workers, spread
 from .sources import sites, sitemap, store
 from .streaming import live
 
@@ -26,6 +26,11 @@ def query(f: Query) -> Query:
     return f
 
 
+def heavy(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table whose rows cost much each."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     show_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,12 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def links_extract(spark, d):
-    return links.extract(table(spark, d, "pages")).select("page_id", "position", "raw")
+    return links.extract(heavy(spark, d, "pages", "page_id", "url", "html")).select("page_id", "position", "raw")
 
 
 @query
 def links_resolve(spark, d):
-    return links.resolve(links.extract(table(spark, d, "pages"))).select("page_id", "position", "url")
+    return _candidates(spark, d).select("page_id", "position", "url")
 
 
 @query
@@ -66,7 +71,7 @@ SPEC = EnqueueSpec(
 
 
 def _candidates(spark, d):
-    return links.resolve(links.extract(table(spark, d, "pages")))
+    return links.resolve(links.extract(heavy(spark, d, "pages", "page_id", "url", "html")))
 
 
 @query
@@ -113,17 +118,17 @@ def page_title_records(spark, d):
 
 @query
 def html_select_titles(spark, d):
-    return table(spark, d, "pages").select("page_id", F.try_element_at(html.select(F.col("html"), "head > title"), F.lit(1)).alias("title"))
+    return heavy(spark, d, "pages", "page_id", "html").select("page_id", F.try_element_at(html.select(F.col("html"), "head > title"), F.lit(1)).alias("title"))
 
 
 @query
 def html_select_anchors(spark, d):
-    return table(spark, d, "pages").select("page_id", F.posexplode(html.anchors(F.col("html"))).alias("position", "raw"))
+    return heavy(spark, d, "pages", "page_id", "html").select("page_id", F.posexplode(html.anchors(F.col("html"))).alias("position", "raw"))
 
 
 @query
 def html_records(spark, d):
-    return html.records(table(spark, d, "pages").select("page_id", "html"), "nav li", {"name": "a", "href": "a@href"})
+    return html.records(heavy(spark, d, "pages", "page_id", "html"), "nav li", {"name": "a", "href": "a@href"})
 
 
 @query
@@ -309,7 +314,7 @@ def route_label_method(spark, d):
 
 @query
 def antibot_detect(spark, d):
-    return table(spark, d, "documents").select("doc_id", classify.anti_bot(F.col("text"), custom={"GNU General": "gnu", "Thth": "thth"}).alias("vendor"))
+    return heavy(spark, d, "documents", "doc_id", "text").select("doc_id", classify.anti_bot(F.col("text"), custom={"GNU General": "gnu", "Thth": "thth"}).alias("vendor"))
 
 
 @query
@@ -324,7 +329,7 @@ def antibot_headers(spark, d):
 @query
 def promotion_detect(spark, d):
     body = F.when(F.col("page_id") % 3 == 0, F.lit("<html><body> <script>go()</script></body></html>")).otherwise(F.col("html"))
-    return table(spark, d, "pages").select("page_id", classify.promotion(F.lit(200), body, required="html").alias("reason"))
+    return heavy(spark, d, "pages", "page_id", "html").select("page_id", classify.promotion(F.lit(200), body, required="html").alias("reason"))
 
 
 @query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def show_workers(spark: SparkSession) -> None:
@@ -20,3 +20,9 @@ def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> Spark
     for key, value in conf.items():
         builder = builder.config(key.replace("_", "."), value)
     return builder.getOrCreate()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its scan has fewer partitions than the cluster has cores: for rows that cost much each, as pages to parse do. A large table stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df

@@ -164,7 +164,7 @@ def stream(items: DataFrame, offset: int = 0, limit: int | None = None, desc: bo
 
 
 def read_bodies(spark: SparkSession, folder: str, chunk: int = 1 << 20) -> DataFrame:
-    """path, position and bytes of the files of a folder, cut into chunks, as a streamed body gives them."""
+    """path, position and bytes of the files of a folder, cut into chunks, as a streamed body gives them; an empty file gives none."""
     files = spark.read.format("binaryFile").load(folder).select("path", "content", "length")
     at = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(chunk).cast("long")))
     return files.withColumn("position", at).select("path", "position", F.substring("content", (F.col("position") + 1).cast("int"), F.lit(chunk)).alias("bytes"))
