@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG = 64
-#: Words and bytes in one recursive query, ids in one decoding query, bytes of cached pieces, and characters handled at a time.
-WORDS, BYTES, IDS, CACHED, CHARS = 40_000, 400_000, 300_000, 150_000_000, 1_000_000
+#: Words and bytes in one recursive query, ids in one decoding query, bytes of cached pieces (of either generation), and characters handled at a time.
+WORDS, BYTES, IDS, CACHED, CHARS = 40_000, 400_000, 300_000, 180_000_000, 1_000_000
 #: Megabytes that DuckDB may take, and bytes for each byte of a longer query.
 MEMORY, EACH = 250, 400
 
@@ -109,6 +109,7 @@ class Codec:
         self.bits[np.repeat(np.arange(len(self.ranks)), self.sizes), np.frombuffer(b"".join(self.ranks), dtype=np.uint8)] = True
         self.bits = np.packbits(self.bits, axis=1)
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.held = 0
 
     # Where a space stands between two other characters, a match of the pattern begins.
@@ -143,10 +144,21 @@ class Codec:
         data, at = ids.tobytes(), (ends * 4).tolist()
         return [data[a:b] for a, b in zip([0, *at], at)]
 
+    def _renew(self, pieces: set[str]) -> set[str]:
+        """Those of the pieces that the older generation has; they are in the younger one then."""
+        met = pieces & self.old.keys()
+        self.cache |= {p: self.old[p] for p in met}
+        self._weigh({p: self.old[p] for p in met})
+        return met
+
+    def _weigh(self, known: dict[str, bytes]) -> None:
+        self.held += sum(map(len, known)) + sum(map(len, known.values())) + 180 * len(known)
+
     def _learn(self, pieces: set[str]) -> None:
         """Put the ids of the pieces into the cache."""
         split = {p: self.pattern.findall(p) for p in pieces}
-        fresh = {w: w.encode() for ws in split.values() for w in ws if w not in self.cache}
+        words = {w for ws in split.values() for w in ws} - self.cache.keys()
+        fresh = {w: w.encode() for w in words - self._renew(words)}
         known, todo = {}, []
         for w, b in fresh.items():
             if (r := self.ranks.get(b)) is not None:
@@ -165,14 +177,15 @@ class Codec:
         for p, ws in split.items():
             if p not in self.cache:
                 known[p] = self.cache[p] = b"".join(map(self.cache.__getitem__, ws))
-        self.held += sum(map(len, known)) + sum(map(len, known.values())) + 180 * len(known)
+        self._weigh(known)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        if self.held > CACHED:
-            self.cache, self.held = {}, 0
+        if self.held > CACHED:  # what isn't met again while the younger generation grows is forgotten
+            self.old, self.cache, self.held = self.cache, {}, 0
         cut = [self.pieces(t) if t else [] for t in texts]
         fresh = set().union(*cut) - self.cache.keys()
+        fresh -= self._renew(fresh)
         if fresh:
             self._learn(fresh)
         return [b"".join(map(self.cache.__getitem__, c)) for c in cut]
