@@ -200,7 +200,7 @@ def mix_digest(docs: DataFrame, block: int = 512, seed: int = 0) -> DataFrame:
     )
 
 
-def mix_placed(docs: DataFrame, block: int = 512, seed: int = 0, shard_slots: int = 4096) -> tuple[DataFrame, str, str]:
+def mix_placed(docs: DataFrame, block: int = 512, seed: int = 0, shard_slots: int = 4096, sized: DataFrame | None = None, target: DataFrame | None = None) -> tuple[DataFrame, str, str]:
     """The mix as rows of documents: one for each shard and pass over a document, with the words that the pass has in the shard; and
     the names of two more columns, the shard and the first place of these words.
 
@@ -215,8 +215,9 @@ def mix_placed(docs: DataFrame, block: int = 512, seed: int = 0, shard_slots: in
 
     size, d, s, z, n, m, uses_, e, mine_, words_, shard_, place_ = map(name, ("_size", "_d", "_s", "_z", "_n", "_m", "_uses", "_e", "_mine", "_words", "_shard", "_place"))
     numbered = docs.withColumn(size, F.size(words(F.col("text"))).cast("long"))
-    sized = settle(measure(docs), "sizes")
-    laid = taken(laid_out(sized), slots(settle(targets(sized), "targets"), block, seed, shard_slots), block, ("shard", "place"))
+    sized = settle(measure(docs), "sizes") if sized is None else sized
+    target = settle(targets(sized), "targets") if target is None else target
+    laid = taken(laid_out(sized), slots(target, block, seed, shard_slots), block, ("shard", "place"))
     # Rows that agree in doc_id, source and size are told apart by their order among equals.
     laid = laid.filter("uses IS NOT NULL OR size > 0").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("first")))
     laid = laid.filter("uses IS NOT NULL").select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(z), F.col("_n").alias(n), F.col("uses").alias(uses_))
@@ -235,5 +236,10 @@ def mix_placed(docs: DataFrame, block: int = 512, seed: int = 0, shard_slots: in
 def mix_documents(docs: DataFrame, block: int = 512, seed: int = 0, shard_slots: int = 4096) -> DataFrame:
     """The rows of mix_placed in the order of the shards and of the places in them, with the columns of docs."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed, shard, place = mix_placed(docs, block, seed, shard_slots)
-    return placed.repartitionByRange(parts, shard, place).sortWithinPartitions(shard, place).select(*docs.columns)
+    sized = settle(measure(docs), "sizes")
+    target = settle(targets(sized), "targets")
+    every = planned(target, block, seed).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    placed, _, place = mix_placed(docs, block, seed, shard_slots, sized, target)
+    # Places are numbered from 0, so their ranges are known and nothing need be sampled.
+    at = F.expr(f"cast(`{place}` * {parts} div {max(every, 1)} AS int)")
+    return placed.repartitionById(parts, at).sortWithinPartitions(place).select(*docs.columns)
