@@ -140,5 +140,34 @@ FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN n ON d.doc_id
 """
 
 
+LOWERED = WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
+OP8 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {LOWERED} AS w FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s FROM d
+),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+r AS (SELECT doc_id, doc_id AS node FROM n UNION SELECT r.doc_id, y FROM r JOIN e ON node = x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(k.k, 0)::BIGINT AS n_similar, coalesce(m.m, d.doc_id) AS component_id
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN (SELECT x, count(*) AS k FROM e GROUP BY x) k ON d.doc_id = x LEFT JOIN (SELECT doc_id, min(node) AS m FROM r GROUP BY doc_id) m ON d.doc_id = m.doc_id
+"""
+
+OP10 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+),
+u AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id, vec_id AS node FROM v UNION SELECT r.vec_id, y FROM r JOIN e ON node = x),
+m AS (SELECT vec_id, min(node) AS m FROM r GROUP BY vec_id)
+SELECT t.vec_id, coalesce(k, 0)::BIGINT AS n_links, coalesce(m, t.vec_id) AS component_id, t.vec_id = coalesce(m, t.vec_id) AS kept
+FROM embeddings t LEFT JOIN m ON t.vec_id = m.vec_id LEFT JOIN (SELECT x, count(*) AS k FROM e GROUP BY x) c ON t.vec_id = c.x
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_templates": url_templates.oracle(), "op7_preference": preference.ORACLE, "op4_quality_rules": OP4, "op6_mixing": OP6}
+    return {"op8_ngram_join": OP8, "op10_nn_descent": OP10, "op1_url_templates": url_templates.oracle(), "op7_preference": preference.ORACLE, "op4_quality_rules": OP4, "op6_mixing": OP6}
