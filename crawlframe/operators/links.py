@@ -78,15 +78,16 @@ def decide(links: DataFrame, spec: EnqueueSpec) -> DataFrame:
 def enqueue(links: DataFrame, spec: EnqueueSpec, key: str = "page_id", known: DataFrame | None = None) -> DataFrame:
     """The result of one call over resolved links: key, position, url, unique_key, label, depth, verdict, reason.
 
-    known: unique keys already in the queue. Windows run over a page or a unique key; only the budget,
-    where one is set, orders all added rows, and then those up to the budget alone.
+    known: unique keys already in the queue. Candidates that were refused go along with the others, so that pages are
+    read once. Windows run over a page or a unique key; only the budget, where one is set, orders all added rows, and
+    then those up to the budget alone.
     """
-    judged = decide(links, spec)
-    passed = judged.filter("reason IS NULL")
-    passed = passed.withColumn("_n", F.row_number().over(Window.partitionBy(key, "url").orderBy("position"))).filter("_n = 1")
+    rows = decide(links, spec).withColumn("_open", F.col("reason").isNull())
+    first = F.row_number().over(Window.partitionBy(key, "url", "_open").orderBy("position"))
+    rows = rows.withColumn("_n", first).filter("NOT _open OR _n = 1")
     if spec.limit is not None:
-        passed = passed.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("position"))).filter(F.col("_n") <= spec.limit)
-    passed = passed.drop("_n").withColumn("unique_key", get_key(F.col("url"))).withColumn("depth", F.lit(spec.depth))
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key, "_open").orderBy("position"))).filter(~F.col("_open") | (F.col("_n") <= spec.limit))
+    rows = rows.withColumn("unique_key", F.when(F.col("_open"), get_key(F.col("url"))))
     late = F.lit(None).cast("string")
     if spec.max_depth is not None and spec.depth > spec.max_depth:
         late = F.lit("max_depth_exceeded")
@@ -94,21 +95,21 @@ def enqueue(links: DataFrame, spec: EnqueueSpec, key: str = "page_id", known: Da
         late = F.when(~spec.transform, "transform_rejected")
     elif spec.rewrite is not None:
         # The key follows the changed url unless the user's code set a key of its own.
-        passed = passed.withColumn("_r", spec.rewrite).withColumn("url", F.coalesce("_r.url", "url"))
-        passed = passed.withColumn("unique_key", F.coalesce("_r.unique_key", get_key(F.col("url"))))
+        rows = rows.withColumn("_r", F.when(F.col("_open"), spec.rewrite)).withColumn("url", F.coalesce("_r.url", "url"))
+        rows = rows.withColumn("unique_key", F.when(F.col("_open"), F.coalesce("_r.unique_key", get_key(F.col("url")))))
         late = F.when(~F.coalesce("_r.keep", F.lit(True)), "transform_rejected")
-    passed = passed.withColumn("reason", late).drop("_r")
-    rank = F.row_number().over(Window.partitionBy("unique_key", F.col("reason").isNull()).orderBy(key, "position"))
-    passed = passed.withColumn("reason", F.when(F.col("reason").isNull() & (rank > 1), "duplicate_unique_key").otherwise(F.col("reason")))
+    rows = rows.withColumn("reason", F.coalesce("reason", late))
+    # Refused candidates have no key; a number of their own spreads them, and meets no key of the queue.
+    rows = rows.withColumn("_k", F.coalesce("unique_key", F.concat(F.lit("\x00"), F.xxhash64(key, "position").cast("string"))))
+    rank = F.row_number().over(Window.partitionBy("_k", F.col("reason").isNull()).orderBy(key, "position"))
+    rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & (rank > 1), "duplicate_unique_key").otherwise(F.col("reason")))
     if known is not None:
-        seen = known.select(F.col("unique_key").alias("_k")).distinct()
-        passed = passed.join(seen, passed["unique_key"] == seen["_k"], "left")
-        passed = passed.withColumn("reason", F.coalesce("reason", F.when(F.col("_k").isNotNull(), "duplicate_unique_key"))).drop("_k")
+        seen = known.select(F.col("unique_key").alias("_k")).distinct().withColumn("_seen", F.lit(True))
+        rows = rows.join(seen, "_k", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("_seen"), "duplicate_unique_key")))
     if spec.budget is not None:
-        passed = within_budget(passed, spec.budget, key)
-    skipped = judged.filter("reason IS NOT NULL").withColumn("unique_key", F.lit(None).cast("string")).withColumn("depth", F.lit(spec.depth))
-    out = passed.unionByName(skipped.select(*passed.columns))
-    return out.select(key, "position", "url", "unique_key", "label", "depth", F.when(F.col("reason").isNull(), "added").otherwise("skipped").alias("verdict"), "reason")
+        rows = within_budget(rows, spec.budget, key)
+    verdict = F.when(F.col("reason").isNull(), "added").otherwise("skipped").alias("verdict")
+    return rows.select(key, "position", "url", "unique_key", "label", F.lit(spec.depth).alias("depth"), verdict, "reason")
 
 
 def within_budget(rows: DataFrame, budget: int, key: str) -> DataFrame:
