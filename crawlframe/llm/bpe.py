@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 LONG = 64
 #: Words and bytes in one recursive query, ids in one decoding query, bytes of cached pieces (of either generation), and characters handled at a time.
-WORDS, BYTES, IDS, CACHED, CHARS = 40_000, 400_000, 300_000, 180_000_000, 1_000_000
+WORDS, BYTES, IDS, CACHED, CHARS = 40_000, 400_000, 300_000, 180_000_000, 4_000_000
 #: Megabytes that DuckDB may take, and bytes for each byte of a longer query.
 MEMORY, EACH = 250, 400
 
