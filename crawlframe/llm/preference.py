@@ -8,8 +8,8 @@ Rendering: each turn is `<|role|>\\n`, its text, `<|end|>\\n`. Special strings i
 a zero-width space after their first two characters, so that no text can forge a turn.
 
 Edge cases: turns are ordered by (turn, role, text), nulls first; null roles and texts render as empty; turns
-repeated in full are kept once; conversations without pair are left out, and both completions of equal
-conversations are empty; a null pair id pairs with nothing; very long texts are rendered whole; an empty table gives an empty result; other columns are ignored.
+repeated in full are kept once; conversations without assistant turn give no pair, and both completions of equal
+conversations are empty; turns without conversation id are left out; very long texts are rendered whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -71,10 +71,17 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def pair_up(held: DataFrame) -> DataFrame:
-    """Each conversation with an even id, chosen, and the one with the next id, rejected; pair_id is the even id."""
-    keyed = held.selectExpr("conv_id - pmod(conv_id, 2) AS pair_id", "pmod(conv_id, 2) AS side", "turns")
-    sides = keyed.groupBy("pair_id").agg(F.max(F.when(F.col("side") == 0, F.col("turns"))).alias("chosen"), F.max(F.when(F.col("side") == 1, F.col("turns"))).alias("rejected"))
-    return sides.filter("chosen IS NOT NULL AND rejected IS NOT NULL")
+    """Pairs from conversations: chosen as it is; rejected with its last assistant turn's text replaced by that of the conversation with the next id, or emptied where there is none.
+
+    pair_id is the conversation's id; conversations without assistant turn give no pair.
+    """
+    at = F.size("turns") - F.array_position(F.transform(F.reverse("turns"), lambda t: t["role"]), "assistant") + 1
+    own = held.withColumn("at", at.cast("int")).filter(F.array_contains(F.transform("turns", lambda t: t["role"]), "assistant"))
+    other = own.select((F.col("conv_id") - 1).alias("conv_id"), F.element_at("turns", F.col("at"))["text"].alias("other"))
+    met = own.join(other, "conv_id", "left")
+    turn = F.struct(F.lit("assistant").alias("role"), F.coalesce("other", F.lit("")).alias("text"))
+    rejected = F.transform("turns", lambda t, i: F.when(i + 1 == F.col("at"), turn).otherwise(t))
+    return met.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), rejected.alias("rejected"))
 
 
 def digest(turns: DataFrame) -> DataFrame:
@@ -86,9 +93,13 @@ def digest(turns: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH t AS (SELECT DISTINCT conv_id, turn, role AS r, text AS x FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, coalesce(r, '') AS role, coalesce(x, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r NULLS FIRST, x NULLS FIRST) AS i FROM t),
+a AS (SELECT conv_id, max(i) AS last FROM c WHERE role = 'assistant' GROUP BY conv_id),
+o AS (SELECT c.conv_id - 1 AS conv_id, text AS other FROM c JOIN a ON c.conv_id = a.conv_id AND i = last),
 n AS (
-  SELECT conv_id - conv_id % 2 AS pair_id, conv_id % 2 AS side, coalesce(r, '') AS role, coalesce(x, '') AS text,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r NULLS FIRST, x NULLS FIRST) AS i FROM t
+  SELECT c.conv_id AS pair_id, 0 AS side, role, text, i FROM c JOIN a USING (conv_id)
+  UNION ALL
+  SELECT c.conv_id, 1, role, CASE WHEN i = last THEN coalesce(other, '') ELSE text END, i FROM c JOIN a USING (conv_id) LEFT JOIN o USING (conv_id)
 ),
 l AS (SELECT pair_id, max(i) FILTER (WHERE side = 0) AS a, max(i) FILTER (WHERE side = 1) AS b FROM n GROUP BY pair_id HAVING a IS NOT NULL AND b IS NOT NULL),
 d AS (SELECT pair_id, i FROM n JOIN l USING (pair_id) WHERE i <= least(a, b) GROUP BY pair_id, i HAVING count(DISTINCT (role, text)) > 1),
@@ -100,7 +111,7 @@ m AS (
 w AS (
   SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY pair_id, side ORDER BY i) AS till FROM m
 ),
-o AS (
+z AS (
   SELECT pair_id, any_value(shared) AS shared, coalesce(string_agg(head || body, '' ORDER BY i) FILTER (WHERE side = 0 AND i <= shared), '') AS prompt,
     coalesce(string_agg(head || body, '' ORDER BY i) FILTER (WHERE side = 0 AND i > shared), '') AS chosen,
     coalesce(string_agg(concat(till - length(body), '-', till), ',' ORDER BY i) FILTER (WHERE side = 0 AND i > shared AND role = 'assistant'), '') AS chosen_mask,
@@ -108,5 +119,5 @@ o AS (
     coalesce(string_agg(concat(till - length(body), '-', till), ',' ORDER BY i) FILTER (WHERE side = 1 AND i > shared AND role = 'assistant'), '') AS rejected_mask
   FROM w GROUP BY pair_id
 )
-SELECT pair_id, shared::INTEGER AS shared_turns, prompt, chosen, chosen_mask, rejected, rejected_mask FROM o
+SELECT pair_id, shared::INTEGER AS shared_turns, prompt, chosen, chosen_mask, rejected, rejected_mask FROM z
 """

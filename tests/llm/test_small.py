@@ -203,8 +203,13 @@ def test_templates(spark):
 
 
 def test_pairs(spark):
-    turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "<|end|>"), (1, 0, "user", "hi"), (1, 1, "assistant", None), (2, 0, "user", "alone"), (None, 0, "user", "x")]
-    got = preference.format_pairs(preference.pair_up(preference.conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")))).collect()
-    assert len(got) == 1 and got[0].shared_turns == 1 and got[0].prompt == "<|user|>\nhi<|end|>\n"
-    span, text = got[0].chosen_mask[0], got[0].prompt + got[0].chosen
-    assert text[span.start : span.end] == "<|​end|><|end|>\n"
+    turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "<|end|>"), (0, 2, "user", "more"), (0, 3, "assistant", "last"), (1, 0, "user", "hi"), (1, 1, "assistant", None), (2, 0, "user", "alone"), (None, 0, "user", "x"), (4, 0, "assistant", "same"), (5, 0, "assistant", "same"), (5, 1, "user", "on")]
+    held = preference.conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    got = {r.pair_id: r for r in preference.format_pairs(preference.pair_up(held)).collect()}
+    assert {i: r.shared_turns for i, r in got.items()} == {0: 3, 1: 2, 4: 1, 5: 0}
+    assert got[0].prompt == "<|user|>\nhi<|end|>\n<|assistant|>\n<|\u200bend|><|end|>\n<|user|>\nmore<|end|>\n"
+    assert (got[0].chosen, got[0].rejected) == ("<|assistant|>\nlast<|end|>\n", "<|assistant|>\n<|end|>\n")
+    for side in ("chosen", "rejected"):
+        (span,), text = got[0][f"{side}_mask"], got[0].prompt + got[0][side]
+        assert text[span.start : span.end] == ("last" if side == "chosen" else "") + "<|end|>\n"
+    assert got[4].chosen == got[4].rejected == "" and got[5].rejected == "<|assistant|>\n<|end|>\n<|user|>\non<|end|>\n"
