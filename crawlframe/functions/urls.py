@@ -49,6 +49,14 @@ def query_parameter(url: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(F.concat(F.lit("&"), F.regexp_extract(url, r"\?([^#]*)", 1)), f"&(\\Q{name}\\E=[^&]*)", 1), F.lit("")).substr(F.lit(len(name) + 2), F.lit(1 << 30))
 
 
+def percent_decode(text: Column) -> Column:
+    """text with its `%XX` decoded; what isn't one stays, and bytes that aren't UTF-8 become the replacement character."""
+    parts = F.regexp_extract_all(text, F.lit(r"((?:%[0-9A-Fa-f]{2})+|[^%]+|%)"), 1)
+    coded = lambda x: F.when(x.rlike("^%.."), F.unhex(F.replace(x, F.lit("%"), F.lit("")))).otherwise(x.cast("binary"))
+    data = F.aggregate(parts, F.lit("").cast("binary"), lambda a, x: F.concat(a, coded(x)))
+    return F.make_valid_utf8(data.cast("string"))
+
+
 def path_extension(url: Column) -> Column:
     return F.lower(F.regexp_extract(path(url), r"\.([^./]*)$", 1))
 

@@ -18,6 +18,12 @@ def fetch(requests: DataFrame, responses: DataFrame) -> DataFrame:
     return met.withColumn("error_class", error).drop("_q", "_k")
 
 
+def with_skips(requests: DataFrame, responses: DataFrame, skip: str = "skip_navigation") -> DataFrame:
+    """requests with their response, but for those that skip navigation: they pass as they are, without error."""
+    passed = requests.filter(F.col(skip))
+    return fetch(requests.filter(~F.coalesce(skip, F.lit(False))), responses).unionByName(passed, allowMissingColumns=True)
+
+
 def rendered(requests: DataFrame, responses: DataFrame, pages: DataFrame) -> DataFrame:
     """requests (rendered) with their response: that of a browser (pages, the same columns as responses) where they are to be rendered, else the plain one."""
     plain = fetch(requests.filter("NOT rendered"), responses)

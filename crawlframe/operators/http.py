@@ -78,6 +78,26 @@ def cookie_headers(requests: DataFrame, cookies: DataFrame, now: Column) -> Data
     return requests.join(joined, "url", "left")
 
 
+def parse_cookie(header: Column, host: Column) -> Column:
+    """A Set-Cookie header as a cookie; null without a name. Without domain it is the host's own; without a path that starts with a slash it is `/`'s."""
+    parts = F.transform(F.split(header, ";"), lambda p: F.btrim(p))
+    first = F.get(parts, F.lit(0))
+
+    def attribute(name: str) -> Column:
+        found = F.filter(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda p: F.lower(F.btrim(F.split_part(p, F.lit("="), F.lit(1)))) == name)
+        return F.get(F.transform(found, lambda p: F.btrim(F.substr(p, F.instr(p, "=") + F.lit(1)))), F.size(found) - 1)
+
+    flag = lambda name: F.exists(parts, lambda p: F.lower(p) == name)
+    domain = F.nullif(F.lower(F.ltrim(attribute("domain"), F.lit("."))), F.lit(""))
+    path = attribute("path")
+    name = F.btrim(F.split_part(first, F.lit("="), F.lit(1)))
+    cookie = F.struct(
+        name.alias("name"), F.btrim(F.substr(first, F.instr(first, "=") + F.lit(1))).alias("value"), F.coalesce(domain, host).alias("domain"), domain.isNull().alias("host_only"),
+        F.when(F.startswith(path, F.lit("/")), path).otherwise("/").alias("path"), flag("secure").alias("secure"), flag("httponly").alias("http_only"), attribute("samesite").alias("same_site"),
+    )
+    return F.when(first.contains("=") & (name != ""), cookie)
+
+
 def upsert_cookies(old: DataFrame, new: DataFrame) -> DataFrame:
     """old with new cookies, which replace those of the same name, domain and path. Cookies without name or domain are skipped."""
     both = old.withColumn("_v", F.lit(0)).unionByName(new.withColumn("_v", F.lit(1)))
@@ -97,6 +117,11 @@ def rotate(seq: Column, proxies: list[str]) -> Column:
     return F.get(F.array(*map(F.lit, proxies)), F.pmod(seq, F.lit(len(proxies))).cast("int")) if proxies else F.lit(None).cast("string")
 
 
+def pick(seed: Column, proxies: list[str]) -> Column:
+    """A proxy by the seed's hash; null without any."""
+    return F.get(F.array(*map(F.lit, proxies)), profile_number(seed, len(proxies))) if proxies else F.lit(None).cast("string")
+
+
 def proxy_bucket(kind: Column, seq: Column, buckets: dict[str, list[str]], default: list[str]) -> Column:
     """The bucket of the kind in turn; without one, or where it is empty, the default's."""
     out = rotate(seq, default)

@@ -225,3 +225,14 @@ SQL |= {
     "crawl_drained": "SELECT concat('https://shop.example/book/', i) AS url, 1 AS depth FROM range(10) t(i) UNION ALL SELECT 'https://shop.example/list/1', 1",
     "hits_equal": "SELECT true AS same, false AS other",
 }
+
+SQL |= {
+    "percent_decoded": f"WITH {LINKS} SELECT page_id, position::INTEGER AS position, regexp_extract(src, '^[a-z]+://[^/?#]*') || raw || '%zz' || chr(65533) || '%' AS text FROM l",
+    "request_json_key": f"""WITH b AS (SELECT event_id, concat('{{"user_id":', user_id, ',"event_type":"', event_type, '"}}') AS k FROM events) SELECT event_id, concat('PUT(', {HEX.format('(' + F1 + ')')}, '):https://example.com/e') AS unique_key FROM b""",
+    "cookies_parsed": """WITH e AS (SELECT event_id, user_id, event_id % 7 <> 0 AS ok, event_id % 2 = 0 AS even FROM events) SELECT event_id, CASE WHEN ok THEN concat('c', user_id % 20) END AS name, CASE WHEN ok THEN concat('v=', event_id) END AS value,
+      CASE WHEN ok THEN CASE WHEN even THEN 'example.com' ELSE 'h.example' END END AS domain, CASE WHEN ok THEN NOT even END AS host_only, CASE WHEN ok THEN CASE WHEN even THEN '/p' ELSE '/' END END AS path, CASE WHEN ok THEN even END AS secure, CASE WHEN ok THEN NOT even END AS http_only, CASE WHEN ok AND even THEN 'Lax' END AS same_site FROM e""",
+    "proxy_random": f"SELECT event_id, ['http://a:1', 'http://b:2', 'http://c:3'][{MD5N.format('event_id::VARCHAR')} % 3 + 1] AS proxy FROM events",
+    "skip_navigation": "SELECT page_id, CASE WHEN page_id % 3 <> 0 AND page_id % 2 = 1 THEN length(html) END::INTEGER AS size, CASE WHEN page_id % 3 <> 0 AND page_id % 2 = 0 THEN 'retryable' END AS error_class FROM pages",
+    "sitemap_failures": "SELECT concat('https://s.example/', x, '.xml') AS url, CASE x WHEN '1' THEN 'broken' WHEN '2' THEN 'failed' ELSE 'read' END AS status FROM (SELECT unnest(['0', '1', '2', '3', '4', '5', 'index']) AS x)",
+    "sitemap_resumed": "SELECT page_id % 6 AS map, url AS loc FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id % 6, page_id) = 1 ORDER BY page_id % 6, page_id LIMIT 100 OFFSET 20",
+}

@@ -918,3 +918,52 @@ def hits_equal(spark, d):
     e = table(spark, d, "events").select("user_id", "event_type")
     same, other = stats.same_hits(e, e.orderBy("event_type")), stats.same_hits(e, e.filter("event_type <> 'error'"))
     return spark.createDataFrame([(same, other)], "same boolean, other boolean")
+
+
+@query
+def percent_decoded(spark, d):
+    """Paths of links decoded again, with what is no code and no text at their ends."""
+    found = _candidates(spark, d)
+    return found.select("page_id", "position", urls.percent_decode(F.concat("url", F.lit("%zz%E4%"))).alias("text"))
+
+
+@query
+def request_json_key(spark, d):
+    """Keys of requests whose body is JSON, in its compact form."""
+    body = F.to_json(F.struct("user_id", "event_type"))
+    key = identity.unique_key(F.lit("https://example.com/e#top"), F.lit("PUT"), body)
+    return table(spark, d, "events").select("event_id", key.alias("unique_key"))
+
+
+@query
+def cookies_parsed(spark, d):
+    header = F.concat(F.lit(" c"), F.col("user_id") % 20, F.lit("=v="), "event_id", F.when(F.col("event_id") % 2 == 0, "; Domain=.Example.com; path=/p; SECURE; SameSite=Lax").otherwise("; HttpOnly; Path=relative"))
+    header = F.when(F.col("event_id") % 7 == 0, "no name").otherwise(header)
+    return table(spark, d, "events").select("event_id", http.parse_cookie(header, F.lit("h.example")).alias("c")).select("event_id", "c.*")
+
+
+@query
+def proxy_random(spark, d):
+    return table(spark, d, "events").select("event_id", http.pick(F.col("event_id"), ["http://a:1", "http://b:2", "http://c:3"]).alias("proxy"))
+
+
+@query
+def skip_navigation(spark, d):
+    p = table(spark, d, "pages")
+    asked = p.select("page_id", F.when(F.col("page_id") % 2 == 0, F.lit("http://nowhere.example/")).otherwise(F.col("url")).alias("url"), (F.col("page_id") % 3 == 0).alias("skip_navigation"))
+    return fetch.with_skips(asked, p.select("url", F.lit(200).alias("status"), F.length("html").alias("size"))).select("page_id", "size", "error_class")
+
+
+@query
+def sitemap_failures(spark, d):
+    """Roots that are read, broken in the middle, or not there."""
+    bodies, _ = _sitemaps(spark, d)
+    cut = bodies.withColumn("body", F.when(F.endswith("url", F.lit("1.xml")), F.substring("body", 1, 200)).otherwise(F.col("body"))).filter("NOT endswith(url, '2.xml')")
+    return sitemap.failures(bodies.select("url"), cut)
+
+
+@query
+def sitemap_resumed(spark, d):
+    """The entries after the first 20, up to 100, as a sitemap that was interrupted goes on."""
+    bodies, roots = _sitemaps(spark, d)
+    return sitemap.expand(roots, bodies, limit=100, skip=20).select(F.element_at("place", 2).alias("map"), "loc")

@@ -67,6 +67,16 @@ def leases(events: DataFrame, seconds: int = 180, late: str = "10 minutes") -> D
     return keyed.applyInPandasWithState(follow, "unique_key string, status string, at timestamp", "ends long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def persist_every(events: DataFrame, state, change: Callable[[tuple, DataFrame], tuple], checkpoint: str, every: str = "60 seconds") -> StreamingQuery:
+    """Changes a state by each batch of events and persists it, a version a tick."""
+
+    def tick(batch: DataFrame, _: int) -> None:
+        state.set(change(state.get(), batch))
+        state.persist()
+
+    return deliver(events, tick, checkpoint, every)
+
+
 def deliver(results: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str, every: str = "60 seconds") -> StreamingQuery:
     """Give each batch of results to a handler; the checkpoint folder must be shared by the cluster."""
     return results.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
