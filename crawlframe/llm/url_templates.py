@@ -83,7 +83,10 @@ def templates(urls: DataFrame, salt: int = 16) -> DataFrame:
     tree = reduce(DataFrame.unionByName, done)
     purity = tree.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     purity = purity.withColumn("purity", F.expr(f"(good + cast({PRIOR * STRENGTH} AS double)) / (good + bad + {STRENGTH})"))
-    return tree.select("host", "shape", "template").join(purity, ["host", "template"])
+    # A hot template's shapes meet its purity in `salt` tasks.
+    purity = purity.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    shapes = tree.select("host", "shape", "template", F.pmod(F.xxhash64("shape"), F.lit(salt)).cast("int").alias("_t"))
+    return shapes.join(purity, ["host", "template", "_t"]).drop("_t")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, salt: int = 16) -> DataFrame:
