@@ -239,7 +239,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, room: int = 2 << 20, batch_by
     mixed = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"), F.sum(length.cast("long")).alias("bytes")).filter("kinds > 1 AND least = 1")
     wanted = segments.join(mixed.select("anchor", "bytes"), "anchor").select("anchor", "key", "n", "bytes", "where.*")
     wanted = settle(wanted, "wanted")
-    # Of the texts, only those with wanted segments are moved: a Bloom filter of fixed size picks them, and a few more.
+    # Of the texts, only those with wanted segments are moved: a Bloom filter of bounded size picks them, and a few more.
     held_bloom = docs.sparkSession.sparkContext.broadcast(bloom(wanted.select(F.col("k1").alias("key"))))
 
     def pick(batches):

@@ -1,4 +1,4 @@
-"""Connected components and a Bloom filter of fixed size, both without collecting rows."""
+"""Connected components and a Bloom filter of bounded size, both without collecting rows."""
 
 from __future__ import annotations
 
@@ -30,8 +30,9 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
-def bloom(keys: DataFrame, bits: int = 1 << 25) -> np.ndarray:
-    """A Bloom filter (two probes) of the 64-bit column `key`: bits / 64 words, whatever the number of keys."""
+def bloom(keys: DataFrame, least: int = 1 << 20, most: int = 1 << 28) -> np.ndarray:
+    """A Bloom filter (two probes) of the 64-bit column `key`, with 16 bits a key, but never more than `most` bits (32 MB): beyond that it lets more through."""
+    bits = min(most, max(least, 1 << (16 * keys.count()).bit_length()))
     at = keys.select(F.explode(F.array(*[F.pmod(F.shiftright("key", s), F.lit(bits)) for s in (0, 29)])).alias("at"))
     held = at.groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("set"))
     out = np.zeros(bits // 64, dtype=np.int64)

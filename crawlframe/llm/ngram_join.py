@@ -310,7 +310,7 @@ def _similar(docs: DataFrame, size: int, room: int) -> DataFrame:
         "class", "copies", "low", F.expr("blocks > 1").alias("split"),
         F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("task"), F.expr("cast(block > other AS int)").alias("side"), F.expr("block = other").alias("alone"),
     )
-    # One row of each class is read again: a Bloom filter of fixed size picks it out, and a few others.
+    # One row of each class is read again: a Bloom filter of bounded size picks it out, and a few others.
     low = F.coalesce("low", F.lit(0))
     key = F.col("node").bitwiseXOR(F.shiftleft(low, 20)).bitwiseXOR(low)
     filter_ = docs.sparkSession.sparkContext.broadcast(bloom(near.select(key.alias("key"))))
