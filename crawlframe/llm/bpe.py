@@ -35,19 +35,18 @@ WORDS, BYTES, IDS, CACHED, CHARS = 40_000, 400_000, 300_000, 180_000_000, 4_000_
 #: Megabytes that DuckDB may take, and bytes for each byte of a longer query.
 MEMORY, EACH = 250, 400
 
+# low: rank and place (below LONG) of a word's least pair.
 MERGE = """
 WITH RECURSIVE step AS (
-  SELECT wid, pos, tok, lead(tok) OVER (PARTITION BY wid ORDER BY pos) AS next, false AS done FROM start
+  SELECT wid, pos, tok, lead(tok) OVER w AS next, lag(pos) OVER w AS before, false AS done FROM start WINDOW w AS (PARTITION BY wid ORDER BY pos)
   UNION ALL
-  (WITH pairs AS (SELECT p.wid, p.pos, p.tok, m.rank FROM step p LEFT JOIN merges m ON m.l = p.tok AND m.r = p.next WHERE NOT done),
-  least AS (SELECT wid, min(rank::BIGINT * 1000 + pos) AS low FROM pairs GROUP BY wid),
-  near AS (
-    SELECT p.wid, pos, tok, low, lag(pos) OVER w AS before, lead(pos) OVER w AS after, lead(tok) OVER w AS one, lead(tok, 2) OVER w AS two
-    FROM pairs p JOIN least USING (wid) WINDOW w AS (PARTITION BY wid ORDER BY pos)
+  (WITH pairs AS (SELECT p.*, m.rank * 64 + p.pos AS low FROM step p LEFT JOIN merges m ON m.l = p.tok AND m.r = p.next WHERE NOT done),
+  least AS (SELECT wid, min(low) AS low FROM pairs GROUP BY wid),
+  kept AS (
+    SELECT p.wid, pos, CASE WHEN least.low & 63 = pos THEN least.low >> 6 ELSE tok END AS tok, least.low IS NULL AS done
+    FROM pairs p JOIN least USING (wid) WHERE least.low IS NULL OR before IS NULL OR before <> least.low & 63
   )
-  SELECT wid, pos, CASE WHEN low % 1000 = pos THEN (low // 1000)::INT ELSE tok END,
-    CASE WHEN low % 1000 = pos THEN two WHEN low % 1000 = after THEN (low // 1000)::INT ELSE one END, low IS NULL
-  FROM near WHERE low IS NULL OR before IS NULL OR before <> low % 1000)
+  SELECT wid, pos, tok, lead(tok) OVER w, lag(pos) OVER w, done FROM kept WINDOW w AS (PARTITION BY wid ORDER BY pos))
 )
 SELECT wid, tok FROM step WHERE done ORDER BY wid, pos
 """
