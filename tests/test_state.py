@@ -119,3 +119,16 @@ def test_folds_keep_states_by_key(spark):
 def test_splitmix(spark):
     got = [r[0] for r in spark.createDataFrame([(0,), (-1,)], "s long").select(identity.splitmix64(F.col("s"))).collect()]
     assert got[0] == "e220a8397b1dcdaf"
+
+
+def test_state_follows_a_stream(spark, tmp_path):
+    from crawlframe.streaming import live
+
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    state = store.State(spark, f"file://{tmp_path}/state", "n long", (0,))
+    query = live.persist_every(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), state, lambda old, batch: (old[0] + batch.count(),), str(tmp_path / "checkpoint"), "0 seconds")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert store.State(spark, f"file://{tmp_path}/state", "n long", (0,)).get() == (5,)
