@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 LONG = 64
 #: Words and bytes in one recursive query, ids in one decoding query, bytes of cached pieces (of either generation), and characters handled at a time.
-WORDS, BYTES, IDS, CACHED, CHARS = 40_000, 400_000, 300_000, 180_000_000, 4_000_000
+WORDS, BYTES, IDS, CACHED, CHARS = 40_000, 400_000, 300_000, 180_000_000, 3_000_000
 #: Megabytes that DuckDB may take, and bytes for each byte of a longer query.
 MEMORY, EACH = 250, 400
 
@@ -92,6 +92,8 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY}MB", "temp_directory": ""})
+        for setting in ("allocator_flush_threshold", "allocator_bulk_deallocation_flush_threshold"):
+            self.db.execute(f"SET {setting} = '1MB'")  # else an idle worker keeps what its queries took
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         merges, vocabulary = pa.table(dict(zip(("l", "r", "rank"), np.array(pairs, dtype=np.int32).reshape(-1, 3).T))), pa.table({"id": list(self.ranks.values()), "piece": [t.decode("latin-1") for t in self.ranks]})
         for name, table, columns in (("merges", merges, "*"), ("vocabulary", vocabulary, "id::INT AS id, piece")):
