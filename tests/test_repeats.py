@@ -33,3 +33,8 @@ def agree(spark, d, name):
 
 def test_rendered_fetch(spark, tables):
     assert len(agree(spark, tables, "rendered_fetch")) == len(URLS)
+
+
+def test_fetch_join(spark, tables):
+    sizes = [r[1] for r in agree(spark, tables, "fetch_join") if r[0] == 2]
+    assert len(sizes) == 2 and len(set(sizes)) == 2
