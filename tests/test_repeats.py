@@ -8,7 +8,7 @@ from crawlframe import oracle, queries
 #: Pages by id: twins of one url, twins but for the fragment, and a page alone.
 URLS = {
     0: "http://a.example.com/en/1", 1: "http://a.example.com/en/1", 3: "https://b.example.net/en/2", 4: "https://b.example.net/en/2", 5: "https://c.example.org/en/3#top", 6: "https://c.example.org/en/3",
-    9: "http://a.example.com/en/4", 10: "http://a.example.com/en/4", 15: "http://a.example.com/en/4#top", 20: "http://d.example.com/de/5",
+    7: "http://d.example.com/de/6", 9: "http://a.example.com/en/4", 10: "http://a.example.com/en/4", 15: "http://a.example.com/en/4#top", 20: "http://d.example.com/de/5", 25: "http://d.example.com/de/6",
 }
 
 
@@ -38,3 +38,7 @@ def test_rendered_fetch(spark, tables):
 def test_fetch_join(spark, tables):
     sizes = [r[1] for r in agree(spark, tables, "fetch_join") if r[0] == 2]
     assert len(sizes) == 2 and len(set(sizes)) == 2
+
+
+def test_skip_navigation(spark, tables):
+    assert len(agree(spark, tables, "skip_navigation")) == len(URLS)
