@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crawlframe import oracle, queries
+from crawlframe.functions import html
 from crawlframe.operators import http
 
 #: Pages by id: twins of one url, twins but for the fragment, and a page alone.
@@ -55,3 +56,16 @@ def test_cookie_headers_hold_a_cookie_once(spark):
     asked = spark.createDataFrame([(1, "http://a.example/x"), (2, "http://a.example/x")], "id int, url string")
     cookies = spark.createDataFrame([("n", "v", "a.example", True, "/", False, None)], "name string, value string, domain string, host_only boolean, path string, secure boolean, expires timestamp")
     assert [r.cookie_header for r in http.cookie_headers(asked, cookies, F.current_timestamp()).collect()] == ["n=v", "n=v"]
+
+
+def test_html_select_titles(spark, tmp_path):
+    titles = ["a &lt;b&gt; &amp;lt; &amp;amp; c", "cut &amp;&amp", "&quot;q&quot; &nbsp;&#65; &copy &eacute;t&eacute;", "&&& & &", ""]
+    rows = [(i, f"<html><head><meta name='a&amp;b'><title>{t}</title></head><body><title>no</title></body></html>") for i, t in enumerate(titles)]
+    rows += [(5, "<html><head></head><body>none</body></html>"), (6, None), (7, "<head><script>if (a && b &amp;&amp; c) {}</script><title>&lt;after&amp</title></head>")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert dict(agree(spark, tmp_path, "html_select_titles"))[1] == "cut &&amp"
+
+
+def test_text_as_written():
+    page = html.parse("<p title='a&amp;b'>x &amp; &quot;y&amp</p><script>a && b &amp;</script>", written=True)
+    assert [n.text() for n in page.walk()] == ["x &amp; &quot;y&amp", "a && b &amp;"] and page.first("p").attrs["title"] == "a&amp;b"
