@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from crawlframe import oracle, queries
 from crawlframe.functions import html
 from crawlframe.operators import http
+from crawlframe.plans import crawl
 
 #: Pages by id: twins of one url, twins but for the fragment, and a page alone.
 URLS = {
@@ -69,3 +70,16 @@ def test_html_select_titles(spark, tmp_path):
 def test_text_as_written():
     page = html.parse("<p title='a&amp;b'>x &amp; &quot;y&amp</p><script>a && b &amp;</script>", written=True)
     assert [n.text() for n in page.walk()] == ["x &amp; &quot;y&amp", "a && b &amp;"] and page.first("p").attrs["title"] == "a&amp;b"
+
+
+def test_crawl_failures(spark, tables):
+    urls = [r[0] for r in agree(spark, tables, "crawl_failures")]
+    assert sorted(urls) == sorted(url for i, url in URLS.items() if i % 5 == 0)
+
+
+def test_seeds_with_keys_of_their_own(spark):
+    links = "<a href=\"/next\">n</a>"
+    seeds = spark.createDataFrame([("http://a.example/x", "one"), ("http://a.example/x", "two"), ("http://a.example/x#top", None), ("http://a.example/x", None)], "url string, unique_key string")
+    pages = spark.createDataFrame([("http://a.example/x", 200, links), ("http://a.example/next", 404, "")], "url string, status int, html string")
+    done = crawl.run(seeds, pages)
+    assert sorted((r.unique_key, r.depth, r.outcome) for r in done.requests.collect()) == [("http://a.example/next", 1, "failed"), ("http://a.example/x", 0, "succeeded"), ("one", 0, "succeeded"), ("two", 0, "succeeded")]
