@@ -1,11 +1,13 @@
-"""Queries against their SQL over what the small tables don't have, as pages that share a url."""
+"""Queries against their SQL over what the small tables don't have, as pages that share a url and long texts."""
+
+from pathlib import Path
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from crawlframe import oracle, queries
-from crawlframe.functions import html
+from crawlframe.functions import classify, html
 from crawlframe.operators import http
 from crawlframe.plans import crawl
 
@@ -27,7 +29,8 @@ def tables(spark, tmp_path_factory):
 def agree(spark, d, name):
     """Rows of a query, which must be those of its SQL."""
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{d}/pages.parquet/*.parquet'")
+    for path in Path(d).glob("*.parquet"):
+        con.sql(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}/*.parquet'")
     got = queries.QUERIES[name](spark, d)
     want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({oracle.SQL[name]})").fetchall()
     rows = sorted(map(tuple, got.collect()), key=str)
@@ -83,3 +86,15 @@ def test_seeds_with_keys_of_their_own(spark):
     pages = spark.createDataFrame([("http://a.example/x", 200, links), ("http://a.example/next", 404, "")], "url string, status int, html string")
     done = crawl.run(seeds, pages)
     assert sorted((r.unique_key, r.depth, r.outcome) for r in done.requests.collect()) == [("http://a.example/next", 1, "failed"), ("http://a.example/x", 0, "succeeded"), ("one", 0, "succeeded"), ("two", 0, "succeeded")]
+
+
+def test_antibot_detect(spark, tmp_path):
+    long = "Wort für Wort " * 6000
+    texts = ["GNU General", long, long + "DataDome", "thth " + long + "gnu general", long + "captcha " + long + "Access Denied", None, "", "x" * 65530 + "kasada"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [vendor for _, vendor in agree(spark, tmp_path, "antibot_detect")] == ["gnu", None, "datadome", "gnu", "unknown", None, None, "kasada"]
+
+
+def test_detector_keeps_its_limit(spark):
+    seen = spark.createDataFrame([("x" * 65530 + "datadome",), ("x" * 65528 + "datadome",)], "body string").select(classify.anti_bot(F.col("body")).alias("v"))
+    assert [r.v for r in seen.collect()] == [None, "datadome"]
